@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import simhash
+from tidemill.llm import mixing, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op6_mixing": mixing.query,
+        "op7_token_counts": tokens.query,
+        "op9_quality_rules": quality.query,
+        "op10_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.ORACLE_SQL}
