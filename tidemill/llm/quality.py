@@ -27,7 +27,7 @@ RULES = (
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "100 * n_symbols > 15 * n_words"),
     ("shouting", "n_upper > n_lower and n_upper >= 20"),
-    ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
