@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import mixing, quality, sharding, simhash, tokens
+from tidemill.llm import decontaminate, mixing, quality, secrets, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op3_decontamination": decontaminate.query,
+        "op5_secrets": secrets.query,
         "op6_mixing": mixing.query,
         "op7_token_counts": tokens.query,
         "op9_quality_rules": quality.query,
