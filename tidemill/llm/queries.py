@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, mixing, quality, secrets, sharding, simhash, tokens
+from tidemill.llm import decontaminate, mixing, quality, secrets, sharding, simhash, tokens, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secrets": secrets.query,
         "op6_mixing": mixing.query,
         "op7_token_counts": tokens.query,
+        "op8_url_rules": url_rules.query,
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
     }
