@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, mixing, quality, secrets, sharding, simhash, tokens, url_rules
+from tidemill.llm import decontaminate, html_text, mixing, quality, secrets, sharding, simhash, tokens, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
         "op3_decontamination": decontaminate.query,
+        "op4_html_text": html_text.query,
         "op5_secrets": secrets.query,
         "op6_mixing": mixing.query,
         "op7_token_counts": tokens.query,
