@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import decontaminate, html_text, mixing, quality, secrets, sharding, simhash, tokens, url_rules
+from tidemill.llm import decontaminate, html_text, mixing, quality, secrets, sharding, simhash, tokens, url_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_warc": warc.query,
         "op3_decontamination": decontaminate.query,
         "op4_html_text": html_text.query,
         "op5_secrets": secrets.query,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
