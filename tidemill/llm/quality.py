@@ -130,3 +130,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     failed = ~passes(BASE)
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (passes(POLICIES[CURRENT]) & ~failed).alias("kept"), "fail_bits")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT rid, i, words[i] || chr(1) || words[i + 1] || chr(1) || words[i + 2] AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM docs WHERE len(words) >= 3)
+), repeated AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM windows) x, range(0, 3) r(k) WHERE x.n > 1 GROUP BY rid
+), measured AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]')) AS n_upper, len(regexp_extract_all(text, '[a-zß-öø-ÿ]')) AS n_lower
+  FROM docs d LEFT JOIN repeated r ON r.rid = d.rid
+), counted AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines FROM measured
+), judged AS (
+  SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * n_symbols > 15 * n_words THEN 4 ELSE 0 END) + (CASE WHEN n_upper > n_lower AND n_upper >= 20 THEN 8 ELSE 0 END)
+    + (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END)
+    + (CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM judged
+"""

@@ -133,3 +133,40 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"))
+
+
+def _found_sql(pattern: str, group: int, kinds: list[tuple[str, int, int]]) -> str:
+    """Spans of one pattern: matches and the gaps before them alternate, so running sums of lengths are offsets."""
+    p = pattern.replace("'", "''")
+    named = "CASE " + " ".join(f"WHEN n BETWEEN {least} AND {most} THEN '{kind}'" for kind, least, most in kinds) + " END"
+    return f"""SELECT rid, stop - whole AS start, stop AS "end", {named} AS kind FROM (
+    SELECT rid, whole, n, CAST(sum(gap + whole) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS stop FROM (
+      SELECT rid, i, length(gaps[i]) AS gap, length(wholes[i]) AS whole, length(vals[i]) AS n FROM (
+        SELECT rid, gaps, wholes, vals, unnest(range(1, len(wholes) + 1)) AS i FROM (
+          SELECT rid, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS wholes, regexp_extract_all(text, '{p}', {group}) AS vals FROM docs WHERE regexp_matches(text, '{p}'))))) WHERE {named} IS NOT NULL"""
+
+
+_RANKS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
+_ROLES = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in ROLE.items()) + " END"
+_LISTED = """string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank, "end")"""
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), found AS (
+  {_found_sql(ASSIGN, 2, [("assign", ASSIGN_MIN, _MOST), ("weak_secret", WEAK_SECRET_MIN, ASSIGN_MIN - 1)])}
+  UNION ALL {_found_sql(ACCESS, 0, [("access", ACCESS_MIN, _MOST), ("weak_access", WEAK_ACCESS_MIN, ACCESS_MIN - 1)])}
+  UNION ALL {_found_sql(HEX, 0, [("hex", HEX_MIN, _MOST)])}
+  UNION ALL {_found_sql(IDENTITY, 1, [("identity", 1, _MOST)])}
+  UNION ALL {_found_sql(ENDPOINT, 0, [("endpoint", 1, _MOST)])}
+), parts AS (SELECT *, {_RANKS} AS rank, {_ROLES} AS role FROM found), told AS (
+  SELECT *, EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'secret' AND abs(o.start - p.start) <= {SCOPE}) AS has_secret,
+    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'identity' AND abs(o.start - p.start) <= {SCOPE}) AS has_identity,
+    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'endpoint' AND abs(o.start - p.start) <= {SCOPE}) AS has_endpoint FROM parts p
+), kept AS (
+  SELECT * FROM told WHERE rank < 3 OR role = 'secret' AND (has_identity OR has_endpoint) OR role = 'identity' AND has_secret OR role = 'endpoint' AND has_secret AND has_identity
+), listed AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    {_LISTED} FILTER (WHERE rank < 3) AS base, {_LISTED} AS spans FROM kept GROUP BY rid
+)
+SELECT d.doc_id, coalesce(l.n_assign, 0) AS n_assign, coalesce(l.n_access, 0) AS n_access, coalesce(l.n_hex, 0) AS n_hex, sha256(coalesce(l.base, '')) AS base_sha256, coalesce(l.spans, '') AS spans
+FROM docs d LEFT JOIN listed l ON l.rid = d.rid
+"""
