@@ -51,6 +51,15 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def with_row(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row as a struct ``_row``, and the named columns beside it.
+
+    Operators that hand on their input's rows work on this form, so that no column
+    of the input can clash with one of theirs; ``select("_row.*")`` gives it back.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{n}`").alias(n) for n in names])
+
+
 def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
     """The first column of each of the names, by exact name; other columns go.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import maybe_broadcast, with_row, written
 
 #: Fixed seeds: 1 is hashed, 0 is ignored.
 MASKS = ("1101011011", "1011100111")
@@ -91,8 +91,8 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any contamination, with all their columns as they are."""
     found = written(overlaps(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash"))
-    return docs.join(maybe_broadcast(found, found.count()), same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return with_row(docs, "doc_id", "text").join(maybe_broadcast(found, found.count()), same, "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, maybe_broadcast, written
+from tidemill.llm.common import WORD, maybe_broadcast, with_row, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -81,9 +81,9 @@ def mix(docs: DataFrame) -> DataFrame:
     their fate; an empty table gives an empty result.
     """
     rates = _rates(docs.select("source", words(F.col("text")).alias("size")))
-    joined = docs.join(rates, docs.source.eqNullSafe(rates._source))
-    n = copies(F.col("_rate"), docs.doc_id).cast("int")
-    return joined.withColumn("_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    joined = with_row(docs, "doc_id", "source").join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    n = copies(F.col("_rate"), F.col("doc_id")).cast("int")
+    return joined.select("_row", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select("_row.*")
 
 
 def decisions(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm.common import with_row
+
 #: Fixed values of the contract: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -119,10 +121,8 @@ def ablation(entries: DataFrame, policies: dict[str, int] | None = None) -> Data
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that a policy keeps, with all their columns as they are."""
-    m = docs.withColumn("_m", _measured("text"))
-    row = m.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], "_m.*")
-    kept = row.withColumn("fail_bits", fail_bits()).where(passes(POLICIES[policy]))
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rows = with_row(docs, "text").select("_row", _measured("text").alias("m")).select("_row", "m.*")
+    return rows.withColumn("fail_bits", fail_bits()).where(passes(POLICIES[policy])).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

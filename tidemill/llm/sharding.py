@@ -18,18 +18,13 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import maybe_broadcast, with_row, written
 
 SHARD_BYTES = 64 << 20
 #: Bits that the first sums go beyond the mean shard's prefix, and each later step adds.
 SLACK = 4
 
 
-def hash_of(docs: DataFrame) -> Column:
-    """Hash of id and text: copies with other ids are spread, rows that repeat in both are not."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
-
-
 def prefix(h: Column | str, depth: int) -> Column:
     """The leading ``depth`` bits of a hash as a number."""
     h = F.col(h) if isinstance(h, str) else h
@@ -69,17 +64,18 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> tuple[list[tuple[int
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """The documents with shard (its bits, and an overflow number where needed) and shard_depth.
 
-    Null texts have no bytes.  A text above the limit is a shard of its own, at the
+    The hash is of id and text, so copies with other ids are spread.  Null texts have no bytes.  A text above the limit is a shard of its own, at the
     depth that separates it, or at 64 bits.  Rows that repeat id and text cannot be
     told apart by bits; if together they exceed the limit, they fill overflow shards
     one after the other.  Input columns named like the results are replaced.  An
     empty table gives an empty result.
     """
-    h, size = hash_of(docs), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = written(docs.select(h.alias("h"), size.alias("bytes")), "shard-sizes")
+    own = F.xxhash64("doc_id", "text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = written(docs.select(own[0].alias("h"), own[1].alias("bytes")), "shard-sizes")
     steps, alone = directory(rows, limit)
     columns = [c for c in docs.columns if c not in ("shard", "shard_depth")]
-    out = docs.select(*[docs[f"`{c}`"] for c in columns], h.alias("_h"), size.alias("_bytes"), F.lit(None).cast("string").alias("_shard"), F.lit(None).cast("int").alias("_depth"))
+    held = with_row(docs.select(*[F.col(f"`{c}`") for c in columns]), "doc_id", "text")
+    out = held.select("_row", own[0].alias("_h"), own[1].alias("_bytes"), F.lit(None).cast("string").alias("_shard"), F.lit(None).cast("int").alias("_depth"))
     for bits, leaves, n in steps:
         leaf = maybe_broadcast(leaves.select(F.col("cell").alias("_cell"), F.col("depth").alias("_d"), F.when(F.col("depth") > 0, F.expr("right(lpad(bin(shard_prefix), 64, '0'), depth)")).otherwise("").alias("_bits")), n)
         out = out.join(leaf, prefix("_h", bits) == F.col("_cell"), "left")
@@ -92,7 +88,7 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         number = F.floor(F.col("_n") / each).cast("long")
         overflow = overflow.withColumn("_shard", F.concat(F.lpad(F.bin("_h"), 64, "0"), F.lit("+"), number.cast("string"))).withColumn("_depth", F.lit(64)).drop("_n")
         out = fits.unionByName(overflow)
-    return out.select(*[F.col(f"`{c}`") for c in columns], F.col("_shard").alias("shard"), F.col("_depth").alias("shard_depth"))
+    return out.select("_row.*", F.col("_shard").alias("shard"), F.col("_depth").alias("shard_depth"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import maybe_broadcast, with_row, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -89,7 +89,7 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp long) for every row of documents; repeated rows stay repeated."""
-    return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), _fingerprints(F.col("text")).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _fingerprints(F.col("text")).alias("fp"))
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -231,13 +231,13 @@ def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     again = written(again, "repeated-ids")
     gone_rows, again_rows = gone.count(), again.count()
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    stay = docs.join(maybe_broadcast(gone, gone_rows), same & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    rows = with_row(docs, "doc_id", "text")
+    stay = rows.join(maybe_broadcast(gone, gone_rows), same & (F.xxhash64("text") == F.col("_hash")), "left_anti")
     if not again_rows:
-        return stay
+        return stay.select("_row.*")
     repeated = maybe_broadcast(again, again_rows)
-    order = F.struct(F.col("text").isNull(), *[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    one = stay.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
-    return stay.join(repeated, same, "left_anti").unionByName(one)
+    one = stay.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row"))
+    return stay.join(repeated, same, "left_anti").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, written
+from tidemill.llm.common import columns_of, maybe_broadcast, written
 
 #: Fixed rules of the contract: (verdict, host, path).
 RULES = (
@@ -126,6 +126,7 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     empty host and path and are allowed.  Repeated rows stay; without labels nothing
     is mined.
     """
+    pages, labels = columns_of(pages, ["page_id", "url"]), columns_of(labels, ["doc_id", "quality", "toxic"])
     hits = written(matched(pages, mine(labelled(pages, labels))), "url-hits").select(F.col("page_id").alias("_id"), F.col("url_hash").alias("_hash"))
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     same = rows.page_id.eqNullSafe(F.col("_id")) & (F.xxhash64(rows.url) == F.col("_hash"))
