@@ -73,13 +73,13 @@ def descend(fx: Fixtures, max_depth: int = MAX_DEPTH) -> DataFrame:
     levels are as many as calls are deep, which the fixture bounds at two.
     """
     w = fx.workflow.select("workflow_id", "parent_id")
-    edges = w.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("at"), F.col("workflow_id").alias("child"))
+    edges = w.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("caller"), F.col("workflow_id").alias("child"))
     level = w.where("parent_id IS NULL").select(F.col("workflow_id").alias("root"), "workflow_id", F.lit(0).alias("depth"), F.array("workflow_id").alias("path"), F.lit(False).alias("cycle"))
     found = level
     for depth in range(1, max_depth + 1):
-        level = level.where("NOT cycle").join(edges, level.workflow_id == edges.at).select("root", F.col("child").alias("workflow_id"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle"))
+        level = level.where("NOT cycle").join(edges, F.col("workflow_id") == F.col("caller")).select("root", F.col("child").alias("workflow_id"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle"))
         found = found.unionByName(level)
-    parents = edges.select(F.col("at").alias("workflow_id")).distinct().withColumn("_more", F.lit(True))
+    parents = edges.select(F.col("caller").alias("workflow_id")).distinct().withColumn("_more", F.lit(True))
     return found.join(parents, "workflow_id", "left").select("root", "workflow_id", "depth", "path", (F.coalesce("_more", F.lit(False)) & (F.col("depth") == max_depth)).alias("truncated"), "cycle")
 
 
@@ -137,21 +137,20 @@ def attention_rows(fx: Fixtures) -> DataFrame:
 
 def _own_verdicts(fx: Fixtures, now_us: int) -> DataFrame:
     """Each workflow's verdict by itself, and the first child in call order that is not terminal."""
-    carriers = attention_rows(fx).groupBy("workflow_id").agg(F.max(F.col("redispatch_count") > 0).alias("by_count"), F.max(F.col("reconcile_attempts") > 0).alias("reconciling"))
-    armed = fx.operation.select("workflow_id", "redispatch_first_us", "reconcile_first_us").unionByName(fx.checkpoint.select("workflow_id", "redispatch_first_us", "reconcile_first_us"))
-    armed = armed.groupBy("workflow_id").agg(F.max(F.col("redispatch_first_us").isNotNull()).alias("armed"), F.max(F.col("reconcile_first_us").isNotNull()).alias("spending"))
+    flags = [((F.col("redispatch_count") > 0) | F.col("redispatch_first_us").isNotNull()).alias("redispatch"), ((F.col("reconcile_attempts") > 0) | F.col("reconcile_first_us").isNotNull()).alias("reconcile")]
+    carriers = fx.operation.select("workflow_id", *flags).unionByName(fx.checkpoint.select("workflow_id", *flags)).where("redispatch OR reconcile")
+    carriers = carriers.groupBy("workflow_id").agg(F.max("redispatch").alias("redispatch"), F.max("reconcile").alias("reconcile"))
     child_state = fx.workflow.select(F.col("workflow_id").alias("child_id"), F.col("state").alias("child_state"))
     open_child = fx.call.select("workflow_id", "operation_seq", "child_id").join(child_state, "child_id").where(~F.col("child_state").isin(*TERMINAL))
     first = open_child.groupBy("workflow_id").agg(F.min_by("child_id", F.struct("operation_seq", "child_id")).alias("next_id"))
-    df = fx.workflow.join(carriers, "workflow_id", "left").join(armed, "workflow_id", "left").join(first, "workflow_id", "left")
-    no = F.lit(False)
+    df = fx.workflow.join(carriers, "workflow_id", "left").join(first, "workflow_id", "left")
     verdict = (
         F.when(F.col("state").isin(*TERMINAL), "terminal")
         .when(F.col("state") == 3, "blocked_resolution")
         .when(F.col("lease_owner").isNotNull() & (F.col("lease_expires_us") > now_us), "running_under_lease")
         .when(F.col("next_id").isNotNull(), "waiting_on_child")
-        .when(F.coalesce("by_count", no) | F.coalesce("armed", no), "redispatch_pending")
-        .when(F.coalesce("reconciling", no) | F.coalesce("spending", no), "reconcile_pending")
+        .when(F.coalesce("redispatch", F.lit(False)), "redispatch_pending")
+        .when(F.coalesce("reconcile", F.lit(False)), "reconcile_pending")
         .when(F.col("next_attempt_us") > now_us, "scheduled_retry")
         .otherwise("claimable_now")
     )
@@ -165,12 +164,18 @@ def verdicts(fx: Fixtures, now_us: int = NOW_US, max_hops: int = 2) -> DataFrame
     a path that would meet itself ends.  Each hop is one join.
     """
     own = _own_verdicts(fx, now_us)
-    step = own.select(F.col("workflow_id").alias("at"), F.col("verdict").alias("at_verdict"), F.col("next_id").alias("at_next"))
     df = own.withColumn("path", F.array("workflow_id")).withColumn("end_verdict", F.col("verdict")).withColumn("hop", F.col("next_id"))
-    for _ in range(max_hops):
-        df = df.join(step, df.hop == step.at, "left")
-        more = F.col("at").isNotNull() & ~F.array_contains("path", F.col("at"))
-        df = df.withColumn("end_verdict", F.when(more, F.col("at_verdict")).otherwise(F.col("end_verdict"))).withColumn("path", F.when(more, F.concat("path", F.array("at"))).otherwise(F.col("path"))).withColumn("hop", F.when(more, F.col("at_next"))).drop("at", "at_verdict", "at_next")
+    for k in range(max_hops):
+        at, at_verdict, at_next = f"at{k}", f"at{k}_verdict", f"at{k}_next"  # names of their own: every hop joins the same rows
+        step = own.select(F.col("workflow_id").alias(at), F.col("verdict").alias(at_verdict), F.col("next_id").alias(at_next))
+        df = df.join(step, F.col("hop") == F.col(at), "left")
+        more = F.col(at).isNotNull() & ~F.array_contains("path", F.col(at))
+        df = df.select(
+            "workflow_id", "script_name", "state", "verdict",
+            F.when(more, F.concat("path", F.array(at))).otherwise(F.col("path")).alias("path"),
+            F.when(more, F.col(at_verdict)).otherwise(F.col("end_verdict")).alias("end_verdict"),
+            F.when(more, F.col(at_next)).alias("hop"),
+        )
     return df.select("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"), "verdict", "path", "end_verdict")
 
 

@@ -41,8 +41,9 @@ def walk(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], steps: int =
     """(plan, start, node, depth) of paths from the frontier that ``keep`` allows, one join a level."""
     level = edges.where("source = 1").select("plan", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth")).distinct()
     found = level
+    ways = edges.select("plan", F.col("source").alias("node"), "target")
     for depth in range(1, steps + 1):
-        level = keep(level.join(edges, (level.plan == edges.plan) & (level.node == edges.source)).select(level.plan, F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct())
+        level = keep(level.select("plan", "node").join(ways, ["plan", "node"]).select("plan", F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct())
         found = found.unionByName(level)
     return found
 
@@ -96,5 +97,5 @@ def call_cycle(fx: Fixtures) -> DataFrame:
     calls = calls.join(names.select(F.col("workflow_id").alias("child_id"), F.col("script_name").alias("callee")), "child_id").select("caller", "callee").distinct()
     reached = calls.select(F.col("caller").alias("start"), F.col("callee").alias("at"))
     for _ in range(3):  # squared three times: chains of up to eight
-        reached = reached.unionByName(reached.alias("a").join(reached.alias("b"), F.col("a.at") == F.col("b.start")).select("a.start", "b.at")).distinct()
+        reached = reached.unionByName(reached.join(reached.select(F.col("start").alias("at"), F.col("at").alias("beyond")), "at").select("start", F.col("beyond").alias("at"))).distinct()
     return reached.where("start = at").select(F.col("start").alias("script_name"))
