@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ MAX_BITS = 4
 SEED = 42
 #: Members of a candidate group that are compared in one step.
 CHUNK = 2048
+#: Copies of a fingerprint from which its rows are kept out of shuffles: so many, and this share of all rows.
+HOT_COPIES, HOT_SHARE = 200, 1e-4
 #: Number of reference fingerprints.
 N_PIVOTS = 16
 
@@ -207,13 +210,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     empty result.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     root = components(links(distinct, max_bits))
     joined = distinct.join(root, distinct.fp == root.node)
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    own = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(own, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    own = written(distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least_id").alias("component_id")), "components")
+    # Fingerprints with very many copies would meet in one task.  As each has a share of HOT_SHARE of all rows,
+    # there are 1 / HOT_SHARE of them at most, and these few are broadcast instead.
+    many = max(HOT_COPIES, ceil(HOT_SHARE * (distinct.agg(F.sum("copies")).first()[0] or 0)))
+    hot = F.broadcast(own.where(F.col("copies") >= many).drop("copies"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(own.where(F.col("copies") < many).drop("copies"), "fp")
+    return rest.unionByName(rows.join(hot, "fp")).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
