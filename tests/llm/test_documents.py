@@ -239,3 +239,23 @@ def test_leaks_are_found_and_clean_documents_left(spark, empty):
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.clean(empty, bench).count() == 0
     assert decontaminate.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(texts)
+
+
+def test_empty_tables(empty):
+    assert mixing.mix(empty).count() == mixing.decisions(empty).count() == 0
+    assert sharding.assign(empty).count() == 0
+    assert quality.ledger(empty).count() == 0 and quality.ablation(quality.ledger(empty)).count() == 0
+
+
+def test_all_shards_take_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(None, None, 1), (1, None, 2), (2, "", 3)], "doc_id long, text string, shard int")
+    rows = sharding.assign(docs).collect()
+    assert len(rows) == 3 and {r.shard for r in rows} == {""}
+
+
+def test_sources_without_words_are_left_out(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x y", "b"), (4, "z", None)], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.decisions(docs).collect()}
+    assert rows[1].target == rows[2].target == 0 and rows[1].taken == 0
+    assert rows[3].target + rows[4].target == 4.5
+    assert {r.doc_id for r in mixing.mix(docs).collect()} <= {3, 4}

@@ -100,3 +100,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return overlaps(docs, items).select("doc_id", "item_id", "agreeing", "compared", "doc_from")
+
+
+def _masked(mask: str) -> str:
+    return " || ' ' || ".join(f"tokens[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
+
+
+def _windows_sql(table: str) -> str:
+    parts = [f"SELECT rid, i, '{k}:' || {_masked(m)} AS seed FROM (SELECT rid, tokens, unnest(range(1, len(tokens) - {len(m)} + 2)) AS i FROM {table} WHERE len(tokens) >= {len(m)})" for k, m in enumerate(MASKS)]
+    return " UNION ALL ".join(parts)
+
+
+#: The benchmark's items are longer than the masks, so SQL needs no masks for short ones.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS tokens FROM documents),
+items AS (SELECT row_number() OVER () AS rid, item_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') AS tokens FROM benchmark),
+doc_windows AS ({_windows_sql("docs")}), item_windows AS ({_windows_sql("items")}),
+hits AS (SELECT DISTINCT d.rid, t.rid AS iid, d.i - t.i AS diagonal FROM doc_windows d JOIN item_windows t ON t.seed = d.seed),
+laid AS (SELECT h.*, d.doc_id, t.item_id, d.tokens AS own, t.tokens AS theirs, least(len(t.tokens), {STRETCH}) AS w FROM hits h JOIN docs d ON d.rid = h.rid JOIN items t ON t.rid = h.iid),
+compared AS (SELECT rid, iid, diagonal, doc_id, item_id, w, j, CAST(theirs[j] = own[j + diagonal] AS INT) AS same
+  FROM (SELECT *, unnest(range(greatest(1, 1 - diagonal), least(len(theirs), len(own) - diagonal) + 1)) AS j FROM laid)),
+summed AS (SELECT *, row_number() OVER o AS n, sum(same) OVER (PARTITION BY rid, iid, diagonal ORDER BY j ROWS BETWEEN {STRETCH - 1} PRECEDING AND CURRENT ROW) AS agreeing FROM compared WINDOW o AS (PARTITION BY rid, iid, diagonal ORDER BY j)),
+best AS (SELECT rid, iid, diagonal, doc_id, item_id, w, max(agreeing) AS agreeing FROM summed WHERE n >= w GROUP BY ALL HAVING max(agreeing) >= ceil(w * {AGREE})),
+picked AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY agreeing DESC, diagonal) AS k FROM best)
+SELECT doc_id, item_id, CAST(agreeing AS INT) AS agreeing, CAST(w AS INT) AS compared, CAST(greatest(diagonal, 0) AS INT) AS doc_from FROM picked WHERE k = 1
+"""

@@ -105,12 +105,12 @@ def ablation(entries: DataFrame, policies: dict[str, int] | None = None) -> Data
     most, and everything else runs on those.
     """
     patterns = entries.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
-    rows = []
+    masks = []
     for version, mask in (policies or POLICIES).items():
-        rows.append((version, None, mask))
-        rows += [(version, name, mask & ~BIT[name]) for name, _ in RULES if mask & BIT[name]]
-    masks = entries.sparkSession.createDataFrame(rows, "policy string, without_rule string, mask long")
-    paired = patterns.join(F.broadcast(masks))  # at most 2 ** rules patterns by a few dozen masks
+        masks.append((version, None, mask))
+        masks += [(version, name, mask & ~BIT[name]) for name, _ in RULES if mask & BIT[name]]
+    listed = F.array(*[F.struct(F.lit(v).alias("policy"), F.lit(w).cast("string").alias("without_rule"), F.lit(m).cast("long").alias("mask")) for v, w, m in masks])
+    paired = patterns.select("fail_bits", "n", F.inline(listed))
     failed = F.col("fail_bits").bitwiseAND(F.col("mask"))
     return paired.groupBy("policy", "without_rule").agg(
         F.coalesce(F.sum(F.when(failed == 0, F.col("n"))), F.lit(0)).alias("kept"),

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.ORACLE_SQL,
+        "op3_decontamination": decontaminate.ORACLE_SQL,
         "op5_secrets": secrets.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op9_quality_rules": quality.ORACLE_SQL,
