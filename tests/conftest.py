@@ -7,4 +7,5 @@ from tidemill.session import session
 def spark():
     held = session("tests", 8)
     held.sparkContext.setLogLevel("ERROR")
+    held.conf.set("spark.sql.shuffle.partitions", "4")
     return held

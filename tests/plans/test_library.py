@@ -154,3 +154,18 @@ def test_stream_folds_like_the_batch(spark, tmp_path):
     final = out.where("accepted").groupBy("item_key").agg(F.max_by(F.struct("event_us", "status", "n_events"), "event_us").alias("s")).select("item_key", "s.*")
     batch = fx.ledger_history.groupBy("item_key").agg(F.max("event_us").alias("event_us"), F.max_by("status", "seq").alias("status"), F.count(F.lit(1)).alias("n_events"))
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_sinks(spark, tmp_path):
+    from tidemill.sources import sinks
+
+    log = str(tmp_path / "log")
+    held = spark.createDataFrame([(1, 0)], "k long, at long")
+    sinks.append(held, log)
+    offered = spark.createDataFrame([(1, 5), (2, 6), (2, 5), (3, 1)], "k long, at long")
+    told = {(r.k, r.at): r.outcome for r in sinks.create(offered, held, "k", "at", log).collect()}
+    assert told == {(1, 5): "exists", (2, 5): "created", (2, 6): "exists", (3, 1): "created"}
+    assert {tuple(r) for r in spark.read.parquet(log).collect()} == {(1, 0), (2, 5), (3, 1)}
+    for _ in range(2):  # the second run finds nothing new
+        sinks.stream(spark.readStream.schema("k long, at long").parquet(log), str(tmp_path / "copy"), str(tmp_path / "at")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 3

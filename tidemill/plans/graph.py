@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import query
@@ -99,3 +99,13 @@ def call_cycle(fx: Fixtures) -> DataFrame:
     for _ in range(3):  # squared three times: chains of up to eight
         reached = reached.unionByName(reached.join(reached.select(F.col("start").alias("at"), F.col("at").alias("beyond")), "at").select("start", F.col("beyond").alias("at"))).distinct()
     return reached.where("start = at").select(F.col("start").alias("script_name"))
+
+
+@query(
+    "graph_order",
+    f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, CAST(1 AS BIGINT) AS node, 0 AS depth FROM sized WHERE plan % 13 <> 0 UNION SELECT w.plan, e.target, w.depth + 1 FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node) SELECT plan, node, CAST(row_number() OVER (PARTITION BY plan ORDER BY max(depth), node) AS INT) AS place FROM w GROUP BY plan, node",
+)
+def graph_order(fx: Fixtures) -> DataFrame:
+    """A topological order of each acyclic plan: by the longest way to a node, ties by its number."""
+    far = walk(plans(fx).where("plan % 13 <> 0"), lambda level: level).groupBy("plan", "node").agg(F.max("depth").alias("depth"))
+    return far.select("plan", "node", F.row_number().over(Window.partitionBy("plan").orderBy("depth", "node")).alias("place"))
