@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -18,15 +21,19 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none (tests on one machine), a temporary folder of
-    this machine is set once and reused.
+    Where the session names none and runs on one machine, as in tests, a temporary
+    folder is set once, and deleted when the driver ends; on a cluster this is an
+    error, as executors don't see one another's local folders.
     """
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
-    held = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-    spark.conf.set("spark.checkpoint.dir", held)
-    return held
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="tidemill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
