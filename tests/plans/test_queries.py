@@ -37,3 +37,14 @@ def test_query_equals_oracle(spark, oracle, name):
 def test_entry_is_not_empty(spark):
     df = registry.entry(spark, DATA)
     assert df.columns == ["workflow_id", "script_name", "state_name", "verdict"] and df.count() > 0
+
+
+def test_no_query_pairs_everything_with_everything(spark):
+    for name, build in registry.queries().items():
+        plan = build(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_point_reads_reach_the_scan(spark):
+    plan = registry.queries()["point_workflow"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderkey,1234)" in plan and "o_totalprice" not in plan
