@@ -87,6 +87,31 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<p>Some words of text here, all of them plain.</p>" * 3000 + "</article>").count("\n\n") == 2999
 
 
+LONG = "Many plain words of a paragraph, which make a sentence or two. They go on for a while, as text does."
+LAYOUTS = {
+    "semantic": (
+        f"""<a class="skip-link" href="#m">Skip to content</a><div id="cookie-banner" role="dialog"><p>We use cookies to improve things. Read our policy for more.</p></div><header><a href="/">Site</a></header>
+        <main><nav class="breadcrumb"><a href=x>Home</a></nav><article><header><h1>Title here</h1><p class="byline">By Someone</p></header><p>{LONG}</p><aside class="related"><p>{LONG}</p></aside><h2>Part two</h2><p>{LONG}</p>
+        <div class="newsletter"><form><p>Subscribe to our letter now, it is free.</p></form></div><blockquote>Short quote.</blockquote><div class="share-buttons"><a href=f>Share</a></div><footer><p>Filed under things.</p></footer></article>
+        <section id="comments"><h3>2 comments</h3><div class="comment"><p>{LONG}</p></div></section></main><footer><p>&copy; All rights reserved by us, the people of it.</p></footer>""",
+        ["Title here", LONG, "Part two", LONG, "Short quote."],
+    ),
+    "table": (f'<table><tr><td class="nav"><a href=1>Home</a><br><a href=2>About</a></td><td class="content"><h1>Title here</h1><p>{LONG}</p><p>End.</p></td></tr></table><div class="foot">Copyright 2020</div>', ["Title here", LONG, "End."]),
+    "bare": (f"<div><ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul></div><div><h1>Title here</h1><p>{LONG}</p><p>Ok.</p><p>{LONG}</p></div><div>Copyright 2020 Us</div>", ["Title here", LONG, "Ok.", LONG]),
+    "classes": (
+        f'<div class="page has-sidebar"><div class="top-bar"><span>Call us now</span></div><div class="article-header"><h1>Title here</h1></div><div class="article-body">{LONG}<p>Tiny</p></div><div class="commentsArea"><ol><li><p>{LONG}</p></li></ol></div></div><div class="notice">{LONG}</div>',
+        ["Title here", LONG, "Tiny"],
+    ),
+    "hidden": (f'<h1>Title here</h1><p>{LONG}</p><p>Hm</p><div hidden><p>{LONG}</p></div><div style="display: none">{LONG}</div>', ["Title here", LONG, "Hm"]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, text = LAYOUTS[name]
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n") == text
+
+
 def brute_cut(source, sink, edges):
     def cost(side):
         return sum(source[i] if not s else sink[i] for i, s in enumerate(side)) + sum(c for a, b, c in edges if side[a] != side[b])

@@ -34,18 +34,20 @@ CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldse
 MAIN = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Fixed words in class, id and role values.
-BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "disclaimer", "reactions", "discussion"}
+BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "bar", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disqus", "foot", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "disclaimer", "reactions", "discussion"}
+#: A class that has one of these tells of a layout, not of what is within.
+LAYOUT_WORDS = {"has", "with", "without", "no", "layout", "col", "cols", "columns"}
 GOOD_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 
 #: Features and their prior weights; training moves them as far as labelled blocks outweigh the prior.
 FEATURES = ("bias", "length", "links", "sentences", "main", "chrome", "page_header", "bad_word", "good_word", "heading", "item")
-PRIOR = np.array([-1.2, 0.45, -3.5, 1.0, 4.0, -7.0, -5.0, -6.0, 1.5, 1.0, -0.7])
-PRIOR_STRENGTH = 50.0
+PRIOR = np.array([-2.0, 0.55, -3.5, 1.0, 4.0, -12.0, -9.0, -12.0, 2.0, 1.0, -0.5])
+PRIOR_STRENGTH = 500.0
 #: Pages that the classifier is fitted on, at most.
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 200_000
 #: Capacities between neighbours: in page order, and between siblings.
-ORDER_EDGE, DOM_EDGE = 0.35, 0.6
+ORDER_EDGE, DOM_EDGE = 0.35, 1.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRS = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -86,11 +88,15 @@ def _flags(tag: str, attrs: str, above: int) -> int:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 flags |= _HIDDEN
             elif name in ("class", "id", "role"):
-                words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-                if words & BAD_WORDS:
-                    flags |= _BAD
-                elif words & GOOD_WORDS:
-                    flags |= _GOOD
+                for one in value.split():
+                    words = set(_WORDS.findall(_CAMEL.sub(" ", one).lower()))
+                    if words & LAYOUT_WORDS:
+                        continue
+                    good = bool(words & GOOD_WORDS)
+                    if words & BAD_WORDS - ({"header"} if good else set()):  # an article's own header may hold its title
+                        flags |= _BAD
+                    elif good:
+                        flags |= _GOOD
     return flags
 
 
@@ -311,21 +317,26 @@ def _distance(a: _Node, b: _Node) -> int:
     return steps
 
 
+def _region(node: _Node) -> int:
+    """What marks a block's surroundings; labels are smooth within a region, not across its border."""
+    return node.flags & (_CHROME | _HEADER | _BAD | _HIDDEN)
+
+
 def label(found: list[tuple[str, _Node, int]], weights: np.ndarray) -> list[bool]:
     """Whether each block is content."""
     if not found:
         return []
-    scores = np.clip(np.array([features(b) for b in found]) @ weights, -12, 12).tolist()
+    scores = np.clip(np.array([features(b) for b in found]) @ weights, -30, 30).tolist()
     source = [log(1 + exp(z)) for z in scores]  # lost if a content-like block goes
     sink = [log(1 + exp(-z)) for z in scores]  # lost if a boilerplate-like block stays
     edges, last = [], {}
     for i, (_, node, _) in enumerate(found):
-        if i:
+        if i and _region(found[i - 1][1]) == _region(node):
             edges.append((i - 1, i, ORDER_EDGE / max(1, _distance(found[i - 1][1], node))))
-        parent = node.parent or node
-        if parent.no in last:
-            edges.append((last[parent.no], i, DOM_EDGE))
-        last[parent.no] = i
+        near = ((node.parent or node).no, _region(node))
+        if near in last:
+            edges.append((last[near], i, DOM_EDGE))
+        last[near] = i
     return min_cut(source, sink, edges)
 
 
