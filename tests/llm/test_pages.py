@@ -19,7 +19,7 @@ def pages(spark):
     long = "<p>" + "same payload é " * 20
     rows = [(i, f"http://www.h{i % 5}.example.com/p/{i}?q=1#top", f"<p>page {i} " + "x" * i * 7, 0, "k") for i in range(60)]
     rows += [(100 + i, "http://hot.example.com/", long, 0, "k") for i in range(30)]
-    rows += [(200, "HTTP://Other.Example.com/ü a", long, 0, "k"), (201, None, None, 0, "k"), (202, "no scheme", "", 0, "k"), (203, "http://x/", "short", 0, "k"), (204, "http://x/", "short", 0, "k"), (None, "http://x/", long, 0, "k"), (3, "http://again/", long + "!", 0, "k"), (205, "http://big/", "y" * 3_000_000, 0, "k")]
+    rows += [(200, "HTTP://Other.Example.com/ü a", long, 0, "k"), (201, None, None, 0, "k"), (202, "no scheme", "", 0, "k"), (203, "http://x/", "short", 0, "k"), (204, "http://x/", "short", 0, "k"), (None, "http://x/", long, 0, "k"), (3, "http://again/", long + "!", 0, "k"), (2**60 + 1, "http://far/", long, 0, "k"), (2**60 + 3, "http://far/", "z" * 200, 0, "k"), (2**60 + 4, "http://far/", "z" * 200, 0, "k"), (205, "http://big/", "y" * 3_000_000, 0, "k")]
     return spark.createDataFrame(rows + rows[5:6], SCHEMA)
 
 

@@ -115,8 +115,20 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _whole(x) -> int | None:
-    return None if pd.isna(x) else int(x)
+def _digits(name: str) -> Column:
+    """An id as text: pandas would make floats of a column of numbers with nulls, and round large ids."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def _whole(x: str | None) -> int | None:
+    return None if x is None else int(x)
+
+
+def _captures(rows: list[tuple]) -> pd.DataFrame:
+    """CAPTURE rows; page ids may be null and are never floats."""
+    names = ["key", "page_id", "file", "offset", "length"]
+    kind = {"page_id": "Int64", "offset": "int64", "length": "int64"}
+    return pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") if n == "page_id" else pd.Series([r[i] for r in rows], dtype=kind.get(n, "object")) for i, n in enumerate(names)})
 
 
 def write_archive(pages: DataFrame, folder: str) -> DataFrame:
@@ -141,13 +153,11 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
                 out.write(member)
                 captures.append((key, own, name, at, len(member)))
                 at += len(member)
-            frame = pd.DataFrame(captures, columns=["key", "page_id", "file", "offset", "length"])
-            frame["page_id"] = frame["page_id"].astype("Int64")
-            yield frame
+            yield _captures(captures)
         if out is not None:
             out.close()
 
-    captures = decided(pages).select("key", F.col("page_id").cast("long"), "url", "payload", "payload_digest", F.col("first").cast("long")).mapInPandas(write, CAPTURE)
+    captures = decided(pages).select("key", _digits("page_id"), "url", "payload", "payload_digest", _digits("first")).mapInPandas(write, CAPTURE)
     captures.write.parquet(f"{folder}/captures")
     return pages.sparkSession.read.schema(CAPTURE).parquet(f"{folder}/captures")
 
@@ -176,7 +186,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
         for batch in batches:
             for key, page_id, file, offset, length in zip(batch["key"], batch["page_id"], batch["file"], batch["offset"], batch["length"]):
-                held.append((key, f"{key} {'' if pd.isna(page_id) else int(page_id)} {file} {offset} {length}\n"))
+                held.append((key, f"{key} {page_id or ''} {file} {offset} {length}\n"))
                 if len(held) >= lines:
                     put()
         if held:
@@ -186,7 +196,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         yield pd.DataFrame(rows, columns=["first_key", "last_key", "file", "offset", "length", "lines"])
 
     by_key = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    by_key.mapInPandas(pack, DIRECTORY).write.parquet(f"{folder}/directory")
+    by_key.select("key", _digits("page_id"), "file", "offset", "length").mapInPandas(pack, DIRECTORY).write.parquet(f"{folder}/directory")
     return spark.read.schema(DIRECTORY).parquet(f"{folder}/directory")
 
 
@@ -226,9 +236,7 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
                         lines.setdefault(line.rsplit(" ", 4)[0], []).append(line.rsplit(" ", 4))
                 for own, page_id, file, offset, length in lines.get(key, ()):
                     found.append((own, int(page_id) if page_id else None, file, int(offset), int(length)))
-            frame = pd.DataFrame(found, columns=["key", "page_id", "file", "offset", "length"])
-            frame["page_id"] = frame["page_id"].astype("Int64")
-            yield frame
+            yield _captures(found)
 
     at = keys.select("key").distinct().mapInPandas(search, "key string, block long")
     return at.repartition("block").sortWithinPartitions("block", "key").mapInPandas(fetch, CAPTURE)
@@ -254,9 +262,8 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
                     now, f = name, store.open_input_file(f"{base}/{name}")
                 row = parse(zlib.decompress(f.read_at(length, offset), 31))
                 rows.append(row if payloads else (*row[:5], None))
-            frame = pd.DataFrame(rows, columns=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-            frame["page_id"], frame["refers_to"] = frame["page_id"].astype("Int64"), frame["refers_to"].astype("Int64")
-            yield frame
+            names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+            yield pd.DataFrame({n: pd.array([r[i] for r in rows], dtype="Int64") if n in ("page_id", "refers_to") else pd.Series([r[i] for r in rows], dtype="int64" if n == "payload_bytes" else "object") for i, n in enumerate(names)})
         if f is not None:
             f.close()
 
