@@ -42,25 +42,46 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 
 def directory(rows: DataFrame, limit: int = SHARD_BYTES) -> tuple[list[tuple[int, DataFrame, int]], int]:
-    """The directory for rows of (h, bytes): [(bits, (cell, depth, shard_prefix, shard_bytes), number of cells)], last bits.
+    """The directory for rows of (h, bytes): [(bits, (cell, depth, shard_prefix, shard_bytes), number of cells)], number of single hashes above the limit.
 
-    Each step covers the cells that the steps before it left oversized.
+    Each step covers the cells that the steps before it left oversized.  Cells of a
+    single hash cannot be split by bits and are left out of later steps.
     """
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, steps, left = 0, [], rows
     high = min(64, max(1, ceil(log2(max(1, total / limit))) + SLACK))
+    alone = 0
     while True:
-        cells = written(left.groupBy(prefix("h", high).alias("cell")).agg(F.sum("bytes").alias("bytes")), "shard-cells")
+        cells = written(left.groupBy(prefix("h", high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("least"), F.max("h").alias("most")), "shard-cells")
         steps.append((high, written(_leaves(cells, low, high, limit), "shard-leaves"), cells.count()))
         heavy = cells.where(F.col("bytes") > limit)
+        alone += heavy.where("least = most").count()
+        heavy = heavy.where("least < most")
         over = heavy.count()
-        if not over or high == 64:
-            return steps, over
+        if not over:
+            return steps, alone
         heavy = maybe_broadcast(heavy.select(F.col("cell").alias("_cell")), over)
         left = left.join(heavy, prefix("h", high) == F.col("_cell"), "left_semi")
         low, high = high, min(64, high + SLACK)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (_row, _h, _bytes) with _n, a number from zero up among those of the same _h.
+
+    One hash may hold a large share of all rows, so they are numbered within the
+    tasks that wrote them, and each of these numbers goes on where the task before
+    ended.  Only one count per hash and task meets in a window.
+    """
+    held = written(rows.withColumn("_part", F.spark_partition_id()), "shard-overflow")
+    counts = held.groupBy(F.col("_h").alias("_hash"), F.col("_part").alias("_task")).agg(F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy("_hash").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select("_hash", "_task", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_start")), "shard-starts")
+    own = Window.partitionBy("_h", "_part").orderBy("_bytes")
+    numbered = held.withColumn("_own", F.row_number().over(own) - 1)
+    same = (F.col("_h") == F.col("_hash")) & (F.col("_part") == F.col("_task"))
+    return numbered.join(maybe_broadcast(starts, starts.count()), same).select("_row", "_h", "_bytes", (F.col("_start") + F.col("_own")).alias("_n"))
+
+
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """The documents with shard (its bits, and an overflow number where needed) and shard_depth.
 
@@ -81,9 +102,7 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         out = out.join(leaf, prefix("_h", bits) == F.col("_cell"), "left")
         out = out.withColumn("_shard", F.coalesce("_shard", "_bits")).withColumn("_depth", F.coalesce("_depth", "_d")).drop("_cell", "_d", "_bits")
     if alone:
-        fits = out.where("_shard IS NOT NULL")
-        in_order = Window.partitionBy("_h").orderBy("_bytes")
-        overflow = out.where("_shard IS NULL").withColumn("_n", F.row_number().over(in_order) - 1)
+        fits, overflow = out.where("_shard IS NOT NULL"), _numbered(out.where("_shard IS NULL").drop("_shard", "_depth"))
         each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("_bytes"), F.lit(1))))
         number = F.floor(F.col("_n") / each).cast("long")
         overflow = overflow.withColumn("_shard", F.concat(F.lpad(F.bin("_h"), 64, "0"), F.lit("+"), number.cast("string"))).withColumn("_depth", F.lit(64)).drop("_n")
