@@ -113,6 +113,23 @@ def test_rows_that_repeat_overflow(spark):
     assert max(size.values()) <= 1000 and sum(size.values()) == 5001
 
 
+def test_overflow_numbers_go_on_from_task_to_task(spark):
+    docs = spark.range(0, 60, 1, 7).selectExpr("1L AS doc_id", "repeat('y', 100) AS text", "id AS extra", "'a' AS _n")
+    rows = sharding.assign(docs, 1000).collect()
+    assert sorted(r.extra for r in rows) == list(range(60)) and {r._n for r in rows} == {"a"}
+    assert sorted(Counter(r.shard for r in rows).values()) == [10] * 6  # full shards, whatever wrote them
+    assert {r.shard.split("+")[1] for r in rows} == set("012345")
+
+
+def test_a_text_above_the_limit_is_alone(spark):
+    docs = spark.createDataFrame([(0, "x" * 5000), *[(i, "y" * 100) for i in range(1, 40)]], "doc_id long, text string")
+    rows = sharding.assign(docs, 1000).collect()
+    size, long = Counter(), {r.shard for r in rows if r.doc_id == 0}
+    for r in rows:
+        size[r.shard] += len(r.text)
+    assert len(rows) == 40 and size[long.pop()] == 5000 and sorted(size.values())[-2] <= 1000
+
+
 # quality
 
 
@@ -235,6 +252,9 @@ def test_leaks_are_found_and_clean_documents_left(spark, empty):
     bench = spark.createDataFrame(items + items[:1], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
     assert found == {(0, 0), (1, 1), (2, 2), (5, 3), (8, 0)}
+    repeated = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, texts[0], "x")], docs.schema))
+    shuffled = decontaminate.overlaps(repeated, bench, broadcast_rows=0).collect()  # the way of large benchmarks
+    assert sorted(map(str, shuffled)) == sorted(map(str, decontaminate.overlaps(repeated, bench).collect())) and len(shuffled) == 6
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 6, 7]
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.clean(empty, bench).count() == 0

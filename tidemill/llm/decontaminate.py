@@ -8,8 +8,9 @@ compared token by token, and counts as contamination if some stretch of
 ``STRETCH`` tokens (or the whole of a shorter item) agrees in 80 per cent of them.
 
 The item side is small and is broadcast only after its rows were counted;
-otherwise the windows are joined by a shuffle.  Document windows are never
-stored: they are generated, probed and dropped in one pass over the texts.
+otherwise the windows are joined by a shuffle, 16 bytes and a key each.  With the
+broadcast, document windows are never stored: they are generated, probed and
+dropped in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import maybe_broadcast, with_row, written
+from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, with_row, written
 
 #: Fixed seeds: 1 is hashed, 0 is ignored.
 MASKS = ("1101011011", "1011100111")
@@ -54,7 +55,7 @@ def _windows(rows: DataFrame, masks: list[str]) -> DataFrame:
     return each.select(*rows.columns, F.posexplode_outer("_own").alias("pos", "hash"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, agree: float = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_hash, item_id, agreeing, compared, doc_from): the best verified overlap of each document and item.
 
     ``agreeing`` of the ``compared`` tokens of the best stretch agree; ``doc_from``
@@ -71,13 +72,19 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     masks = [*masks, *("1" * n for n in sorted(short))]
     item_windows = _windows(items, masks).select("hash", "_item", F.col("pos").alias("item_pos"), F.size("tokens").alias("m")).distinct()
     item_windows = written(item_windows, "benchmark-windows")
-    n_windows, n_items = item_windows.count(), items.count()
+    n_windows = item_windows.count()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("tokens"))
-    hits = _windows(rows, masks).join(maybe_broadcast(item_windows, n_windows), "hash")
-    diagonal = F.col("pos") - F.col("item_pos")
-    hits = hits.select("doc_id", "text_hash", "_item", diagonal.alias("diagonal"), F.slice("tokens", F.greatest(diagonal, F.lit(0)) + 1, F.col("m") + F.least(diagonal, F.lit(0))).alias("part")).distinct()
-    both = hits.join(maybe_broadcast(items, n_items), "_item")
+    diagonal = (F.col("pos") - F.col("item_pos")).alias("diagonal")
+    if n_windows <= broadcast_rows:
+        hits = _windows(rows, masks).join(F.broadcast(item_windows), "hash").select("doc_id", "text_hash", "tokens", "_item", "m", diagonal)
+    else:  # windows are shuffled without the tokens, which only the documents that were hit get back
+        hits = _windows(rows, masks).drop("tokens").join(item_windows, "hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_item", "m", diagonal).distinct()
+        hits = written(hits, "benchmark-hits")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        hits = rows.join(maybe_broadcast(hits, hits.count(), broadcast_rows), same)
+    hits = hits.select("doc_id", "text_hash", "_item", "diagonal", F.slice("tokens", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.col("m") + F.least(F.col("diagonal"), F.lit(0))).alias("part")).distinct()
+    both = hits.join(maybe_broadcast(items, n_windows, broadcast_rows), "_item")  # an item has about as many windows as tokens
     shift = F.greatest(-F.col("diagonal"), F.lit(0))
     both = both.withColumn("same", F.transform("part", lambda t, j: (t == F.get(F.col("tokens"), j + shift)).cast("int")))
     w = F.least(F.size("tokens"), F.lit(stretch))
