@@ -92,6 +92,14 @@ def test_one_document_of_each_group_stays(docs):
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in groups} - {None})
 
 
+def test_groups_that_share_an_id_or_have_none_each_keep_a_document(spark):
+    words = "river stone cloud paper window market garden silver copper engine".split()
+    text = [" ".join(f"{w}{k}{i}" for i in range(3) for w in words) for k in "abcdef"]
+    rows = [(5, text[0], 1), (5, text[0], 2), (5, text[1], 3), (None, text[2], 4), (None, text[2], 5), (None, text[3], 6), (7, text[4], 7), (None, text[4], 8), (8, text[5], 9), (9, text[5], 10), (None, None, 11), (None, "", 12)]
+    stay = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted(r.n for r in stay if r.n < 11) == [1, 3, 4, 6, 7, 9] and len(stay) == 7
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_per_group(empty).count() == 0

@@ -209,42 +209,50 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     a component_id unless its whole component has none.  An empty table gives an
     empty result.
     """
+    return _grouped(docs, max_bits).drop("root")
+
+
+def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
+    """near_duplicates with root, a fingerprint that only the rows of one component share; ids may repeat or be null."""
     rows = written(fingerprints(docs), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     root = components(links(distinct, max_bits))
     joined = distinct.join(root, distinct.fp == root.node)
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    own = written(distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least_id").alias("component_id")), "components")
+    linked = joined.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    own = written(distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")), "components")
     # Fingerprints with very many copies would meet in one task.  As each has a share of HOT_SHARE of all rows,
     # there are 1 / HOT_SHARE of them at most, and these few are broadcast instead.
     many = max(HOT_COPIES, ceil(HOT_SHARE * (distinct.agg(F.sum("copies")).first()[0] or 0)))
     hot = F.broadcast(own.where(F.col("copies") >= many).drop("copies"))
     rest = rows.join(hot.select("fp"), "fp", "left_anti").join(own.where(F.col("copies") < many).drop("copies"), "fp")
-    return rest.unionByName(rows.join(hot, "fp")).select("doc_id", "text_hash", "fp", "component_id")
+    return rest.unionByName(rows.join(hot, "fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def one_per_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of documents that stay when one document of each group does: the one whose id is the group's.
 
-    All columns stay, whatever they are.  Of rows that share id and text one
-    stays, the least by its other columns; rows that share only the id are judged
-    by their own texts.  Of several rows without id in a group without any id one
-    stays as well.
+    All columns stay, whatever they are.  Of rows of one group that share that id
+    one stays, the least by its other columns; rows that share only the id are
+    judged by their own texts, so each of several groups with one id keeps a row.
+    Of several rows without id in a group without any id one stays as well.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), max_bits)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    groups = _grouped(docs.select("doc_id", "text"), max_bits)
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = groups.where(~head).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     gone = written(gone, "near-copies")
-    again = groups.groupBy(F.col("doc_id").alias("_id"), F.col("component_id").alias("_root")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and _id <=> _root").select("_id")
+    again = groups.where(head).groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_root")
     again = written(again, "repeated-ids")
     gone_rows, again_rows = gone.count(), again.count()
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = with_row(docs, "doc_id", "text")
-    stay = rows.join(maybe_broadcast(gone, gone_rows), same & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    rows = with_row(docs, "doc_id", "text").withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    stay = rows.join(maybe_broadcast(gone, gone_rows), same, "left_anti")
     if not again_rows:
         return stay.select("_row.*")
-    repeated = maybe_broadcast(again, again_rows)
-    one = stay.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row"))
+    repeated = groups.where(head).join(maybe_broadcast(again, again_rows), F.col("root") == F.col("_root"))
+    repeated = written(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_root").distinct(), "repeated-rows")
+    repeated = maybe_broadcast(repeated, repeated.count())
+    one = stay.join(repeated, same).groupBy("_root").agg(F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row"))
     return stay.join(repeated, same, "left_anti").select("_row.*").unionByName(one.select("_row.*"))
 
 
