@@ -1,9 +1,11 @@
 """Operators on documents against brute force: mixing, sharding, quality, tokens, secrets, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -261,6 +263,23 @@ def test_leaks_are_found_and_clean_documents_left(spark, empty):
     assert decontaminate.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(texts)
 
 
+def test_every_overlap_that_the_rule_accepts_has_a_seed(spark):
+    bench, texts = [], {}
+    for n in range(1, 15):
+        w = min(n, 13)
+        differ = w - math.ceil(w * 0.8)
+        words = [f"w{n}x{i}" for i in range(n)]
+        bench.append((n, " ".join(words)))
+        for at in combinations(range(w), differ):
+            hit = lambda m, o: all(not o <= b < o + len(m) or m[b - o] == "0" for b in at)  # noqa: B023, E731
+            assert any(hit(m, o) for m in decontaminate.seeds(w) for o in range(w - len(m) + 1))
+            texts[len(texts)] = (n, " ".join(["before", *("other" if i in at else x for i, x in enumerate(words[:w])), "after", *["end"] * (n - w)]))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()}
+    assert found == {(i, n) for i, (n, _) in texts.items()}
+
+
 def test_empty_tables(empty):
     assert mixing.mix(empty).count() == mixing.decisions(empty).count() == 0
     assert sharding.assign(empty).count() == 0

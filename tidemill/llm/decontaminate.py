@@ -6,6 +6,8 @@ substituted.  Windows of the benchmark items and of the documents join on these
 hashes.  Each hit lays item and document along a diagonal; the overlap is then
 compared token by token, and counts as contamination if some stretch of
 ``STRETCH`` tokens (or the whole of a shorter item) agrees in 80 per cent of them.
+``MASKS`` alone miss some ways to place the other tokens; with ``EXTRA`` every
+stretch that agrees so far has a hit.
 
 The item side is small and is broadcast only after its rows were counted;
 otherwise the windows are joined by a shuffle, 16 bytes and a key each.  With the
@@ -15,6 +17,8 @@ dropped in one pass over the texts.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,18 @@ from tidemill.llm.common import BROADCAST_ROWS, maybe_broadcast, with_row, writt
 MASKS = ("1101011011", "1011100111")
 STRETCH = 13
 AGREE = 0.8
+#: More seeds, by compared tokens and how many of them may differ: together with MASKS they hit every such stretch.
+EXTRA = {
+    (13, 2): ("11001110101", "110101111"),
+    (12, 2): ("11011111", "11100101011"),
+    (11, 2): ("11011101", "110010111", "1111011"),
+    (10, 2): ("110111", "11100011"),
+    (9, 1): ("1111011", "1101111"),
+    (8, 1): ("111011", "11111"),
+    (7, 1): ("11111", "111011", "110111"),
+    (6, 1): ("1111", "11011"),
+    (5, 1): ("111", "1101"),
+}
 
 TOKEN = r"[\p{L}\p{N}\p{M}]+"
 
@@ -34,24 +50,36 @@ def token_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _seeded(tokens: Column, masks: list[str]) -> Column:
-    """array<array<long>>: for each mask the hashes of all its windows, by position."""
+def seeds(compared: int, masks: tuple[str, ...] = MASKS, agree: float = AGREE) -> list[str]:
+    """Masks of which one at least hits any stretch of ``compared`` tokens that agrees far enough.
+
+    Where EXTRA has none, it is a run: m tokens that differ leave m + 1 runs, and the
+    longest has its share of the tokens that agree.
+    """
+    differ = compared - ceil(compared * agree)
+    extra = EXTRA.get((compared, differ)) if masks == MASKS else None
+    return [*(m for m in masks if len(m) <= compared), *(extra or ("1" * max(1, ceil((compared - differ) / (differ + 1))),))]
+
+
+def _seeded(tokens: Column, masks: list[str], fits: dict[str, Column] | None = None) -> Column:
+    """array<array<long>>: for each mask the hashes of all its windows, by position; none where fits is false."""
     none = F.expr("CAST(array() AS array<bigint>)")
 
     def windows(k: int, mask: str) -> Column:
         own = lambda i: F.xxhash64(F.lit(k), *[F.get(tokens, i + j) for j, bit in enumerate(mask) if bit == "1"])
-        return F.when(F.size(tokens) >= len(mask), F.transform(F.sequence(F.lit(0), F.size(tokens) - len(mask)), own)).otherwise(none)
+        here = F.size(tokens) >= len(mask)
+        return F.when(here & fits[mask] if fits else here, F.transform(F.sequence(F.lit(0), F.size(tokens) - len(mask)), own)).otherwise(none)
 
     return F.array(*[windows(k, mask) for k, mask in enumerate(masks)])
 
 
-def _windows(rows: DataFrame, masks: list[str]) -> DataFrame:
+def _windows(rows: DataFrame, masks: list[str], fits: dict[str, Column] | None = None) -> DataFrame:
     """rows with a column tokens, by window: the columns and hash, pos; hash is null where a row has no window.
 
     The outer forms keep Catalyst from adding a filter on the arrays' sizes, which
     it would push below the tokens and so compute these anew for every window.
     """
-    each = rows.withColumn("_by_mask", _seeded(F.col("tokens"), masks)).select(*rows.columns, F.explode_outer("_by_mask").alias("_own"))
+    each = rows.withColumn("_by_mask", _seeded(F.col("tokens"), masks, fits)).select(*rows.columns, F.explode_outer("_by_mask").alias("_own"))
     return each.select(*rows.columns, F.posexplode_outer("_own").alias("pos", "hash"))
 
 
@@ -60,17 +88,19 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
 
     ``agreeing`` of the ``compared`` tokens of the best stretch agree; ``doc_from``
     is the token of the document where the overlap with the item begins.  Items
-    shorter than a mask have a mask of their length, without gaps.  Items or
+    shorter than a stretch have seeds of their own length.  Items or
     documents without tokens, null texts among them, never match; items that repeat
     are compared once; repeated documents give the same rows once.
     """
     spark = docs.sparkSession
     items = items.select("item_id", token_hashes(F.col("text")).alias("tokens")).where("size(tokens) > 0").distinct()
     items = written(items.withColumn("_item", F.xxhash64("item_id", "tokens")), "benchmark")
-    span = min(len(m) for m in masks)
-    short = [r[0] for r in items.where(F.size("tokens") < span).select(F.size("tokens")).distinct().collect()]  # fewer than a mask's span
-    masks = [*masks, *("1" * n for n in sorted(short))]
-    item_windows = _windows(items, masks).select("hash", "_item", F.col("pos").alias("item_pos"), F.size("tokens").alias("m")).distinct()
+    w = F.least(F.size("tokens"), F.lit(stretch))
+    lengths = sorted(r[0] for r in items.select(w).distinct().collect()) or [stretch]  # stretch of them at most
+    by_length = {n: seeds(n, masks, agree) for n in lengths}
+    masks = list(dict.fromkeys(m for n in reversed(lengths) for m in by_length[n]))
+    fits = {m: w.isin([n for n in lengths if m in by_length[n]]) for m in masks}
+    item_windows = _windows(items, masks, fits).where("hash IS NOT NULL").select("hash", "_item", F.col("pos").alias("item_pos"), F.size("tokens").alias("m")).distinct()
     item_windows = written(item_windows, "benchmark-windows")
     n_windows = item_windows.count()
 
@@ -87,7 +117,6 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     both = hits.join(maybe_broadcast(items, n_windows, broadcast_rows), "_item")  # an item has about as many windows as tokens
     shift = F.greatest(-F.col("diagonal"), F.lit(0))
     both = both.withColumn("same", F.transform("part", lambda t, j: (t == F.get(F.col("tokens"), j + shift)).cast("int")))
-    w = F.least(F.size("tokens"), F.lit(stretch))
     both = both.withColumn("compared", w).where(F.size("same") >= F.col("compared"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("compared")), F.lit(0), lambda a, x: a + x))
     verified = both.withColumn("agreeing", F.array_max(sums)).where(F.col("agreeing") >= F.ceil(F.col("compared") * agree))
