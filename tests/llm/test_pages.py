@@ -54,6 +54,15 @@ def test_lookup_finds_keys_that_span_blocks(spark, pages, tmp_path_factory):
     assert [p for k, p in found if k == ""] == [201]
 
 
+def test_urls_with_any_character_are_found_again(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('warc')}/d"
+    urls = [f"http://x.example/{c}a 1 b" for c in "\u0085\u2028\u2029\x1c\u3000é😀"] + ["http://example.com\n", "dirty\nurl with\r\nlines", "http://a b/\u2028 5 f 6 7", "http://x/"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.archive(pages, folder)
+    captures = warc.lookup(pages.select(warc.url_key(pages.url).alias("key")), folder)
+    assert sorted(r.page_id for r in warc.read_records(captures, folder).collect()) == list(range(len(urls)))
+
+
 def test_damage_is_noticed():
     raw = warc.record(1, "http://x/", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse(raw)[5] == b"payload"

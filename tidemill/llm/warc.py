@@ -14,6 +14,7 @@ leaves at most a file that nothing points to.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -186,7 +187,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
 
         for batch in batches:
             for key, page_id, file, offset, length in zip(batch["key"], batch["page_id"], batch["file"], batch["offset"], batch["length"]):
-                held.append((key, f"{key} {page_id or ''} {file} {offset} {length}\n"))
+                held.append((key, json.dumps([key, page_id, file, int(offset), int(length)]) + "\n"))  # ASCII, so one line whatever the key
                 if len(held) >= lines:
                     put()
         if held:
@@ -232,10 +233,11 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
                     with store.open_input_file(f"{base}/{file}") as f:
                         raw = f.read_at(length, offset)
                     now, lines = i, {}
-                    for line in zlib.decompress(raw, 31).decode().splitlines():
-                        lines.setdefault(line.rsplit(" ", 4)[0], []).append(line.rsplit(" ", 4))
+                    for line in zlib.decompress(raw, 31).decode().split("\n")[:-1]:
+                        capture = json.loads(line)
+                        lines.setdefault(capture[0], []).append(capture)
                 for own, page_id, file, offset, length in lines.get(key, ()):
-                    found.append((own, int(page_id) if page_id else None, file, int(offset), int(length)))
+                    found.append((own, _whole(page_id), file, offset, length))
             yield _captures(found)
 
     at = keys.select("key").distinct().mapInPandas(search, "key string, block long")
