@@ -121,6 +121,19 @@ def test_layouts(name):
     assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n") == text
 
 
+RAW_LEFT_OPEN = ["<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", *(f"<div><{t}></div>" for t in ("button", "svg", "canvas", "map", "object"))]
+
+
+@pytest.mark.parametrize("control", RAW_LEFT_OPEN)
+def test_controls_without_an_end_hide_no_article(control):
+    assert html_text.main_text(f"<body><form>{control}</form><article><h1>Title here</h1><p>{LONG}</p></article></body>") == f"Title here\n\n{LONG}"
+    assert html_text.main_text(f"<body>{control}<article><h1>Title here</h1><p>{LONG}</p></article></body>") == f"Title here\n\n{LONG}"
+
+
+def test_formulas_stay():
+    assert html_text.main_text(f"<article><p>{LONG} So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{LONG} So a=2 holds."
+
+
 def brute_cut(source, sink, edges):
     def cost(side):
         return sum(source[i] if not s else sink[i] for i, s in enumerate(side)) + sum(c for a, b, c in edges if side[a] != side[b])

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tidemill.llm.common import columns_of
 
 # Fixed sets of element names.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "textarea", "select", "button", "option", "map", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "button", "map", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -100,6 +100,13 @@ def _flags(tag: str, attrs: str, above: int) -> int:
     return flags
 
 
+def _holds(node: _Node | None, tag: str) -> bool:
+    """Whether an element of the tag is open."""
+    while node is not None and node.tag != tag:
+        node = node.parent
+    return node is not None
+
+
 def blocks(page: str | None) -> list[tuple[str, _Node, int]]:
     """(text, element, characters in links) of every block of a page, in order.
 
@@ -122,18 +129,35 @@ def blocks(page: str | None) -> list[tuple[str, _Node, int]]:
         links = 0
 
     skip = None  # a raw element that is being passed over
+    inner: list[str] = []  # blocks open within it
     for m in _TOKEN.finditer(page):
         start = m.start()
         name = m.group(2)
         if skip:
-            if not name or not m.group(1) or name.lower() != skip:
-                if skip == "head" and name and not m.group(1) and name.lower() in ("body", "article", "main", "nav", "header", "div", "p"):
-                    skip = None  # a head without an end
-                else:
+            if start < pos or not name:
+                continue
+            tag = name.lower()
+            if m.group(1):
+                if tag == skip:
+                    skip, pos = None, m.end()
+                    continue
+                if tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                    continue
+                if not _holds(node, tag):
                     continue
+                skip = None  # the end of a block around it: its own end was left out
+            elif tag in MAIN or tag == "body" or skip == "head" and tag in ("nav", "header", "div", "p"):
+                skip = None
             else:
-                skip, pos = None, m.end()
+                if tag in ("script", "style"):
+                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, m.end())
+                    pos = end.end() if end else len(page)
+                elif tag in BLOCK and tag != "hr":
+                    inner.append(tag)
                 continue
+            start = max(start, pos)
+            pos = start
         elif start < pos:
             continue  # within a script or style
         if start > pos:
@@ -164,6 +188,7 @@ def blocks(page: str | None) -> list[tuple[str, _Node, int]]:
                 pos = end.end() if end else len(page)
             elif not m.group(3).endswith("/"):
                 skip = tag
+                inner.clear()
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
