@@ -217,6 +217,21 @@ def test_base_spans_and_links(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_parts_link_over_the_gap_between_them(spark):
+    texts = ["token=" + "z" * 400 + " client_id=abc", "https://x.example/?" + "q" * 300 + " secret=abcdef", "client_id=abc" + " " * 200 + "secret: shortie", "client_id=abc" + " " * 201 + "secret: shortie"]
+    rng = random.Random(12)
+    bits = ["secret=abcdef", "client_id=" + "u" * 350, "https://h.example/" + "p" * 500, "AKIASHORT9", "x" * 90, "y" * 170, "z" * 600]
+    texts += [" ".join(rng.choice(bits) for _ in range(12)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = {r.doc_id: r.parts for r in secrets.scanned(docs).collect()}
+    got = {r.doc_id: sorted(r["all"]) for r in secrets.scan(docs).collect()}
+    for i in range(len(texts)):
+        near = lambda p: {secrets.ROLE[o.kind] for o in parts[i] if max(o.start, p.start) - min(o.end, p.end) <= 200}  # noqa: B023, E731
+        fits = {"secret": lambda n: n & {"identity", "endpoint"}, "identity": lambda n: "secret" in n, "endpoint": lambda n: n >= {"secret", "identity"}}
+        assert got[i] == sorted(p for p in parts[i] if p["rank"] < 3 or fits[secrets.ROLE[p.kind]](near(p)))
+    assert [len(got[i]) for i in range(4)] == [2, 1, 2, 0]
+
+
 def test_base_digest_equals_brute_force(spark):
     rng = random.Random(4)
     patterns = [("assign", re.compile(secrets.ASSIGN), 12, 2), ("access", re.compile(secrets.ACCESS), 18, 0), ("hex", re.compile(secrets.HEX), 16, 0)]

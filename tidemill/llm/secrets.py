@@ -4,8 +4,8 @@ Base rules find strong spans by themselves.  Weak candidates (short access
 identifiers, short secrets, endpoints) mean little alone; they are reported only
 when complementary parts lie within a scope of characters around them.  The parts
 are intervals on their document; an interval join on scope-wide bins tells which
-kinds of part each candidate has near.  Bins are aggregated to their least and
-greatest position first, so candidates meet at most three rows per kind of part,
+kinds of part each candidate has near.  A part is in all bins from its start to its
+end.  Bins are aggregated to their least start and greatest end first, so candidates meet one row per bin and kind of part,
 not one another.
 """
 
@@ -33,7 +33,7 @@ WEAK_ACCESS_MIN = 8
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "identity", "endpoint")
 ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "identity", "weak_access": "identity", "identity": "identity", "endpoint": "endpoint"}
 
-#: Characters between the starts of parts that belong together.
+#: Characters between parts that belong together, from the end of one to the start of the next.
 SCOPE = 200
 
 _SPAN = "struct<start: bigint, rank: int, end: bigint, kind: string>"
@@ -97,11 +97,13 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     role = F.create_map(*[F.lit(v) for pair in ROLE.items() for v in pair])
     parts = found.where("size(parts) > 0").select("doc_id", "text_hash", F.explode("parts").alias("s")).distinct()
-    parts = parts.select("doc_id", "text_hash", "s", F.element_at(role, F.col("s.kind")).alias("role"), F.floor(F.col("s.start") / scope).alias("bin"))
-    bins = parts.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("bin").alias("_bin"), F.col("role").alias("_role")).agg(F.min("s.start").alias("least"), F.max("s.start").alias("most"))
-    weak = parts.where(F.col("s.rank") >= 3).withColumn("near", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
+    parts = parts.select("doc_id", "text_hash", "s", F.element_at(role, F.col("s.kind")).alias("role"))
+    at = lambda x: F.floor(x / scope)
+    binned = parts.withColumn("bin", F.explode(F.sequence(at(F.col("s.start")), at(F.col("s.end")))))
+    bins = binned.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("bin").alias("_bin"), F.col("role").alias("_role")).agg(F.min("s.start").alias("least"), F.max("s.end").alias("most"))
+    weak = parts.where(F.col("s.rank") >= 3).withColumn("near", F.explode(F.sequence(at(F.col("s.start")) - 1, at(F.col("s.end")) + 1)))
     same = weak.doc_id.eqNullSafe(bins._id) & (weak.text_hash == bins._hash) & (weak.near == bins._bin) & (weak.role != bins._role)
-    met = weak.join(bins, same).where((F.col("most") >= F.col("s.start") - scope) & (F.col("least") <= F.col("s.start") + scope))
+    met = weak.join(bins, same).where((F.col("most") >= F.col("s.start") - scope) & (F.col("least") <= F.col("s.end") + scope))
     has = {r: F.max(F.col("_role") == r) for r in ("secret", "identity", "endpoint")}
     met = met.groupBy("doc_id", "text_hash", "s", "role").agg(*[c.alias(f"has_{r}") for r, c in has.items()])
     fits = met.where("(role = 'secret' AND (has_identity OR has_endpoint)) OR (role = 'identity' AND has_secret) OR (role = 'endpoint' AND has_secret AND has_identity)")
