@@ -34,10 +34,11 @@ def test_archive_round_trip(spark, pages, tmp_path_factory):
     for r in rows:
         if r.page_id is not None:
             first[payload(r)] = min(first.get(payload(r), r.page_id), r.page_id)
-    expected = []
+    expected, headed = [], set()
     for r in rows:
         p, head = payload(r), first.get(payload(r))
-        revisit = len(p) >= 100 and head is not None and (r.page_id is None or r.page_id > head)
+        revisit = len(p) >= 100 and head is not None and (r.page_id is None or r.page_id > head or p in headed)
+        headed |= {p} if r.page_id == head else set()
         expected.append((r.page_id, "revisit" if revisit else "response", head if revisit else None, len(p), hashlib.sha256(p).hexdigest()))
     assert got == sorted(expected, key=str)
 
@@ -63,6 +64,38 @@ def test_urls_with_any_character_are_found_again(spark, tmp_path_factory):
     assert sorted(r.page_id for r in warc.read_records(captures, folder).collect()) == list(range(len(urls)))
 
 
+ODD = ["\u0085", "\u2028", "\x0b", "\n", "\r\n", " ", "\t", "%", "é", "\x00"]
+
+
+def test_odd_characters_in_host_and_tail_lose_no_page(spark, tmp_path):
+    urls = [f"http://{h}a.example{h}/x{t}y" for h in ["", *ODD] for t in ["", *ODD]] + [None, "", "://"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}" + "z" * 200) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in warc.query(spark, str(tmp_path)).collect()) == list(range(len(urls)))
+    keys = [r[0] for r in pages.select(warc.url_key(pages.url)).collect()]
+    assert all("\x20" < c < "\x7f" for k in keys for c in k)
+
+
+def test_one_row_of_a_repeated_head_is_the_response(spark, tmp_path):
+    rows = [(4, "http://x/", "b" * 300)] * 40 + [(9, "http://y/", "b" * 300), (None, "http://z/", "b" * 300), (None, "u", "c" * 300), (None, "v", "c" * 300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(4, "response", None, 300)] + [(4, "revisit", 4, 300)] * 39 + [(9, "revisit", 4, 300), (None, "revisit", 4, 300)] + [(None, "response", None, 300)] * 2, key=str)
+
+
+def test_folders_are_resolved_as_spark_resolves_them(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    pages = spark.createDataFrame([(1, "http://x/", "p")], "page_id long, url string, html string")
+    warc.archive(pages, f"{tmp_path}/plain")
+    assert warc.lookup(pages.select(warc.url_key(pages.url).alias("key")), f"{tmp_path}/plain").count() == 1
+    with pytest.raises(ValueError):
+        warc._open("/no/scheme")
+
+
+def test_tasks_follow_the_archive_bytes(spark):
+    assert warc._tasks(spark, 0) == 1 and warc._tasks(spark, 100 * warc.READ_BYTES) == 100
+
+
 def test_damage_is_noticed():
     raw = warc.record(1, "http://x/", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse(raw)[5] == b"payload"
