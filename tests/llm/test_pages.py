@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -167,6 +168,63 @@ def test_formulas_stay():
     assert html_text.main_text(f"<article><p>{LONG} So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{LONG} So a=2 holds."
 
 
+HOSTILE = {
+    "unbalanced quotes": '<p class="x>abc</p>' * 50_000,
+    "quotes of two kinds": "<p a='> <p b=\"> " * 60_000,
+    "deep tree, unmatched ends": "<div>" * 150_000 + "</p></span>" * 30_000,
+    "items in a deep tree": "<li><ul>" + "<div>" * 80_000 + "<li></li>" * 60_000,
+    "angle brackets": "<" * 1_000_000,
+    "open tags": "<a " * 300_000,
+    "comments": "<!--" * 250_000,
+    "ampersands": "&" * 1_000_000,
+    "equals": "<p " + '="' * 499_990,
+    "control left open": "<button>" + "<div>" * 90_000 + "</p>" * 90_000,
+    "titles left open": "<title>" * 120_000,
+    "alternating blocks": "<article>" + "<p>o</p><div><p>Some longer text, and more.</p></div>" * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_no_longer(name):
+    began = time.process_time()
+    html_text.main_text(HOSTILE[name])
+    assert time.process_time() - began < 2
+
+
+def test_broken_tags_leave_no_markup():
+    assert html_text.main_text(f'<article><p title="a>{LONG}</p><p class="x">{LONG}</p></article>') == f"{LONG}\n\n{LONG}"
+    assert html_text.main_text(f'<article><p title="a>{LONG}</p><p>{LONG}</p></article>') == f"{LONG}\n\n{LONG}"
+    assert html_text.main_text(f'<article><p title="a>b" class=x data-x="<b>q</b>">{LONG}</p></ article><p class=') == LONG
+    assert html_text.main_text("<article><p>Very large: &#" + "9" * 6000 + "; and then some.</p></article>") == "Very large: \ufffd and then some."
+
+
+@pytest.mark.parametrize("name", ["discussion", "alert", "meta-analysis", "social-history", "cookie-recipes", "tags"])
+def test_ordinary_words_in_an_article_drop_nothing(name):
+    assert html_text.main_text(f'<article><p>{LONG}</p><section class="{name}"><p>{LONG}</p></section><p id="{name}">{LONG}</p></article>') == "\n\n".join([LONG] * 3)
+    assert html_text.main_text(f'<article><p>{LONG}</p><svg><title>no</title><text>Label</text></svg><noscript>Plain words, as text.</noscript></article>') == f"{LONG}\n\nLabel\n\nPlain words, as text."
+
+
+def test_the_cut_changes_labels():
+    page = f'<div><p>{LONG}</p><p>{LONG}</p><p class="alert">See below, or not.</p><p>{LONG}</p><p>{LONG}</p></div>'
+    found = html_text.blocks(f"<article>{page}</article>")
+    alone = [float(np.dot(html_text.features(b), html_text.PRIOR)) > 0 for b in found]
+    assert alone == [True, True, True, True, True]
+    weights = html_text.PRIOR.copy()
+    weights[html_text.FEATURES.index("weak_word")] = -6.0
+    alone = [float(np.dot(html_text.features(b), weights)) > 0 for b in found]
+    assert alone == [True, True, False, True, True] and all(html_text.label(found, weights))
+    short = html_text.blocks(f"<div><h1>Title here</h1><p>{LONG}</p><p>Ok.</p><p>{LONG}</p></div>")
+    assert float(np.dot(html_text.features(short[2]), html_text.PRIOR)) < 0 and html_text.label(short, html_text.PRIOR)[2]
+
+
+def test_labels_come_from_other_pages(spark):
+    word = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    rows = [(i, "u", f"<p>Same on all pages of the site</p><div class=ad><p>{word(i, 12)}</p></div><p>{word(1000 + i, 40)}</p><p>short {i}</p>") for i in range(12)]
+    rows += [(50 + i, "u", rows[0][2]) for i in range(5)]  # copies of a page
+    found = html_text.labelled_blocks(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.no, r.label) for r in found} == {(0, 0.0), (1, 1.0), (2, 1.0)} and len(found) == 3 * len(rows)
+
+
 def brute_cut(source, sink, edges):
     def cost(side):
         return sum(source[i] if not s else sink[i] for i, s in enumerate(side)) + sum(c for a, b, c in edges if side[a] != side[b])
@@ -183,6 +241,9 @@ def test_cut_is_minimal():
         edges = [e for e in edges if e[0] != e[1]]
         least, cost = brute_cut(source, sink, edges)
         assert cost(html_text.min_cut(source, sink, edges)) == pytest.approx(least)
+        assert cost(html_text.reduced_cut(source, sink, edges)) == pytest.approx(least)
+        far = [5 * x for x in source]  # some nodes are settled by their terminals alone
+        assert brute_cut(far, sink, edges)[1](html_text.reduced_cut(far, sink, edges)) == pytest.approx(brute_cut(far, sink, edges)[0])
 
 
 def test_extract_and_training(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import exp, log, log1p
 
@@ -21,39 +21,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import columns_of
+from tidemill.llm.common import columns_of, written
 
 # Fixed sets of element names.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "button", "map", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "button", "map", "xmp", "noembed", "noframes"}
+#: Elements of RAW whose content is text up to their own end tag, whatever it looks like.
+VERBATIM = {"script", "style", "xmp", "textarea", "title", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "noscript", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
 #: Elements that an implied end does not pass.
 SCOPE = {"ul", "ol", "dl", "table", "menu", "article", "aside", "section", "main", "nav", "form", "body", "html"}
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"}
 MAIN = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# Fixed words in class, id and role values.
-BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "bar", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "disqus", "foot", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "disclaimer", "reactions", "discussion"}
-#: A class that has one of these tells of a layout, not of what is within.
-LAYOUT_WORDS = {"has", "with", "without", "no", "layout", "col", "cols", "columns"}
+# Fixed words in class, id and role values: of boilerplate wherever it stands, of boilerplate outside an article
+# only, of content, of layout, and words that tell nothing beside another.
+BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "respond", "share", "sharing", "sidebar", "signup", "skip", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+WEAK_WORDS = {"alert", "bar", "dialog", "discussion", "foot", "form", "meta", "reactions", "replies", "reply", "search", "social", "tags"}
 GOOD_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
+LAYOUT_WORDS = {"has", "with", "without", "no", "layout", "col", "cols", "columns"}
+PLAIN_WORDS = {"area", "block", "bottom", "box", "button", "buttons", "btn", "container", "form", "group", "head", "icon", "icons", "id", "inner", "item", "items", "label", "left", "line", "link", "links", "list", "message", "outer", "page", "panel", "posts", "right", "row", "section", "site", "slot", "title", "top", "unit", "wrap", "wrapper"}
 
 #: Features and their prior weights; training moves them as far as labelled blocks outweigh the prior.
-FEATURES = ("bias", "length", "links", "sentences", "main", "chrome", "page_header", "bad_word", "good_word", "heading", "item")
-PRIOR = np.array([-2.0, 0.55, -3.5, 1.0, 4.0, -12.0, -9.0, -12.0, 2.0, 1.0, -0.5])
+FEATURES = ("bias", "length", "links", "sentences", "main", "chrome", "page_header", "bad_word", "weak_word", "weak_outside", "good_word", "heading", "item")
+PRIOR = np.array([-2.0, 0.55, -3.5, 1.0, 4.0, -12.0, -9.0, -12.0, -2.0, -8.0, 2.0, 1.0, -0.5])
 PRIOR_STRENGTH = 500.0
-#: Pages that the classifier is fitted on, at most.
-SAMPLE_PAGES = 300
-SAMPLE_CHARS = 200_000
-#: Capacities between neighbours: in page order, and between siblings.
-ORDER_EDGE, DOM_EDGE = 0.35, 1.6
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRS = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Pages that the classifier is fitted on, and blocks of them, at most.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 300, 20_000
+#: Words from which on a block that no other sampled page has is taken as content.
+LABEL_WORDS = 10
+#: Capacities between neighbours: in page order, between siblings, and in page order across the border of marked regions.
+ORDER_EDGE, DOM_EDGE, BORDER_EDGE = 0.35, 1.6, 0.1
+
+#: A comment; a declaration or an end tag without a name; a tag.  A quote only opens a value after an equals sign,
+#: and only if one closes it, so a tag with an unbalanced quote ends at its next >.  Nothing is tried twice.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^">]*+"|'[^'>]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))?+)*+)(?:>|\Z)""",
+    re.S,
+)
+_ATTRS = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = re.compile(r"[.!?…:;,](?:\s|$)")
+_HUGE_REFERENCE = re.compile(r"&#[0-9]{8,}+;?")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in VERBATIM}
 
 
 class _Node:
@@ -67,7 +80,30 @@ class _Node:
         self.flags = flags
 
 
-_MAIN, _CHROME, _HEADER, _BAD, _GOOD, _ITEM, _HIDDEN, _HEADING = (1 << i for i in range(8))
+_MAIN, _CHROME, _HEADER, _BAD, _WEAK, _GOOD, _ITEM, _HIDDEN, _HEADING = (1 << i for i in range(9))
+
+
+def _class_flags(value: str, above: int) -> int:
+    """What the words of a class, id or role tell.
+
+    A word of boilerplate beside one that is not known ("cookie-recipes") is a weak
+    sign within an article; an article's own header may hold its title.
+    """
+    flags = 0
+    for one in value.split():
+        words = set(_WORDS.findall(_CAMEL.sub(" ", one).lower()))
+        if words & LAYOUT_WORDS:
+            continue
+        good = bool(words & GOOD_WORDS)
+        bad = words & BAD_WORDS - ({"header"} if good else set())
+        known = words <= BAD_WORDS | WEAK_WORDS | GOOD_WORDS | PLAIN_WORDS
+        if bad and (known or not above & _MAIN):
+            flags |= _BAD
+        elif bad or words & WEAK_WORDS:
+            flags |= _WEAK
+        elif good:
+            flags |= _GOOD
+    return flags
 
 
 def _flags(tag: str, attrs: str, above: int) -> int:
@@ -80,86 +116,138 @@ def _flags(tag: str, attrs: str, above: int) -> int:
         flags |= _HEADER
     if tag == "li":
         flags |= _ITEM
+    if tag == "noscript":
+        flags |= _WEAK
     if tag in HEADING:
         flags |= _HEADING
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTRS.findall(attrs):
             name, value = name.lower(), a or b or c
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _UNSEEN.search(value):
                 flags |= _HIDDEN
             elif name in ("class", "id", "role"):
-                for one in value.split():
-                    words = set(_WORDS.findall(_CAMEL.sub(" ", one).lower()))
-                    if words & LAYOUT_WORDS:
-                        continue
-                    good = bool(words & GOOD_WORDS)
-                    if words & BAD_WORDS - ({"header"} if good else set()):  # an article's own header may hold its title
-                        flags |= _BAD
-                    elif good:
-                        flags |= _GOOD
+                flags |= _class_flags(value, above)
     return flags
 
 
-def _holds(node: _Node | None, tag: str) -> bool:
-    """Whether an element of the tag is open."""
-    while node is not None and node.tag != tag:
-        node = node.parent
-    return node is not None
+class _Open:
+    """The open elements, with counts by tag, as a whole and since the last element of SCOPE, so that no search runs in vain."""
+
+    def __init__(self) -> None:
+        self.root = self.node = _Node("", 0, None, 0)
+        self.counts: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
+        self.number = 0
+
+    def push(self, tag: str, attrs: str) -> None:
+        self.number += 1
+        self.node = _Node(tag, self.number, self.node, _flags(tag, attrs, self.node.flags))
+        self.counts[tag] += 1
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.node.tag
+        self.node = self.node.parent
+        self.counts[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its element and all within it; without such an element it is ignored."""
+        if self.counts[tag] > 0:
+            while self.pop() != tag:
+                pass
+
+    def start(self, tag: str, attrs: str) -> None:
+        """A block ends an open paragraph, and elements of its own kind up to the next SCOPE."""
+        while self.node.tag == "p":
+            self.pop()
+        for ended in CLOSED_BY.get(tag, ()):
+            if self.scopes[-1][ended] > 0:
+                while self.pop() != ended:
+                    pass
+        self.push(tag, attrs)
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded, white space as single spaces."""
+    if "&" in text:
+        text = html.unescape(_HUGE_REFERENCE.sub("\ufffd", text))
+    return " ".join(text.split())
 
 
 def blocks(page: str | None) -> list[tuple[str, _Node, int]]:
     """(text, element, characters in links) of every block of a page, in order.
 
     Markup that is not text (scripts, styles, comments, controls) is left out;
-    character references are decoded; white space becomes single spaces.
+    character references are decoded; white space becomes single spaces.  The time
+    taken grows with the length of the page, whatever its markup is like.
     """
     page = page or ""
     out: list[tuple[str, _Node, int]] = []
-    node = root = _Node("", 0, None, 0)
-    number, pos, links, in_link = 0, 0, 0, 0
+    tree = _Open()
+    pos, links, in_link = 0, 0, 0
     text: list[str] = []
+    missing: set[str] = set()  # verbatim elements that have no end tag from here on
 
     def flush() -> None:
         nonlocal links
         if text:
-            own = " ".join(html.unescape("".join(text)).split())
+            own = _decoded("".join(text))
             if own:
-                out.append((own, node, min(links, len(own))))
+                out.append((own, tree.node, min(links, len(own))))
             text.clear()
         links = 0
 
+    def verbatim(tag: str, at: int) -> int:
+        """Where an element's verbatim content ends; without an end tag a title has none, and the others go on to the end of the page."""
+        end = None if tag in missing else _RAW_END[tag].search(page, at)
+        if end:
+            return end.end()
+        missing.add(tag)
+        return at if tag == "title" else len(page)
+
     skip = None  # a raw element that is being passed over
     inner: list[str] = []  # blocks open within it
+    inside: Counter[str] = Counter()
     for m in _TOKEN.finditer(page):
-        start = m.start()
-        name = m.group(2)
+        start, name = m.start(), m.group(2)
+        if start < pos:
+            continue  # within verbatim content
         if skip:
-            if start < pos or not name:
+            if not name:
                 continue
             tag = name.lower()
             if m.group(1):
                 if tag == skip:
                     skip, pos = None, m.end()
                     continue
-                if tag in inner:
-                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                if inside[tag] > 0:
+                    while True:
+                        last = inner.pop()
+                        inside[last] -= 1
+                        if last == tag:
+                            break
                     continue
-                if not _holds(node, tag):
+                if tree.counts[tag] <= 0:
                     continue
                 skip = None  # the end of a block around it: its own end was left out
             elif tag in MAIN or tag == "body" or skip == "head" and tag in ("nav", "header", "div", "p"):
                 skip = None
             else:
                 if tag in ("script", "style"):
-                    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, m.end())
-                    pos = end.end() if end else len(page)
+                    pos = verbatim(tag, m.end())
                 elif tag in BLOCK and tag != "hr":
                     inner.append(tag)
+                    inside[tag] += 1
                 continue
-            start = max(start, pos)
             pos = start
-        elif start < pos:
-            continue  # within a script or style
         if start > pos:
             chunk = page[pos:start]
             text.append(chunk)
@@ -171,48 +259,30 @@ def blocks(page: str | None) -> list[tuple[str, _Node, int]]:
         tag = name.lower()
         if m.group(1):
             if tag == "a":
-                in_link = max(0, in_link - 1)
+                in_link = 0
             if tag in BLOCK:
                 flush()
-                at = node
-                while at is not root and at.tag != tag:
-                    at = at.parent
-                if at is not root:
-                    node = at.parent
+                tree.end(tag)
             elif tag == "br":
                 text.append(" ")
-            continue
-        if tag in RAW:
-            if tag in ("script", "style", "xmp", "textarea", "title", "noscript", "iframe", "noembed", "noframes"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
+        elif tag in RAW:
+            if tag in VERBATIM:
+                pos = verbatim(tag, pos)
             elif not m.group(3).endswith("/"):
                 skip = tag
                 inner.clear()
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                if tag == "hr":
-                    flush()
-                elif tag == "br":
-                    text.append(" ")
-            continue
-        if tag == "a":
-            in_link = 1
-        if tag in BLOCK:
-            flush()
-            at = node
-            while at is not root and at.tag == "p":
-                at = at.parent
-            node = at
-            ends = CLOSED_BY.get(tag)
-            if ends:
-                while at is not root and at.tag not in SCOPE:
-                    if at.tag in ends:
-                        node = at.parent
-                    at = at.parent
-            number += 1
-            node = _Node(tag, number, node, _flags(tag, m.group(3), node.flags))
+                inside.clear()
+        elif tag in VOID:
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                text.append(" ")
+        else:
+            if tag == "a":
+                in_link = 1
+            if tag in BLOCK:
+                flush()
+                tree.start(tag, m.group(3))
     if pos < len(page) and not skip:
         text.append(page[pos:])
     flush()
@@ -224,7 +294,8 @@ def features(block: tuple[str, _Node, int]) -> list[float]:
     text, node, links = block
     f = node.flags
     has = lambda bit: 1.0 if f & bit else 0.0
-    return [1.0, log1p(len(text)), links / len(text), min(3, len(_ENDS.findall(text))) / 3, has(_MAIN), has(_CHROME | _HIDDEN), has(_HEADER), has(_BAD), has(_GOOD), has(_HEADING), has(_ITEM)]
+    weak = has(_WEAK)
+    return [1.0, log1p(len(text)), links / len(text), min(3, len(_ENDS.findall(text))) / 3, has(_MAIN), has(_CHROME | _HIDDEN), has(_HEADER), has(_BAD), weak, weak * (1.0 - has(_MAIN)), has(_GOOD), has(_HEADING), has(_ITEM)]
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 12) -> np.ndarray:
@@ -238,25 +309,43 @@ def fit(rows: np.ndarray, labels: np.ndarray, steps: int = 12) -> np.ndarray:
     return w
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights fitted on the blocks of at most ``sample`` pages, those with the least hash of their id.
+_SAMPLED = "no int, text_hash long, words int, longest long, x array<double>"
 
-    Labels come from the pages' own markup where it is plain: blocks in navigation,
-    footers, forms and the like are boilerplate, paragraphs in an article or main
-    element without any such mark are content; other blocks are not used.
+
+def labelled_blocks(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+    """(page_id, no, x, label) of labelled blocks of at most ``sample`` pages, those with the least hash of their id.
+
+    Labels come from what no feature shows, the other pages: a block whose text is
+    on sampled pages of several articles is boilerplate, one of LABEL_WORDS or more
+    that is on one article's pages only is content; short ones that do not repeat
+    have no label.  Pages with the same longest block count as the same article, so
+    copies of a page make no boilerplate of its text.
     """
-    rows, labels = [], []
-    # Ids first, so that tasks send the driver a few bytes a row; then the pages, of SAMPLE_CHARS at most.
-    ids = [r[0] for r in pages.where("page_id IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
-    picked = pages.where(F.col("page_id").isin(ids)).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html")).dropDuplicates(["page_id"])
-    for _, page in sorted(picked.limit(sample).collect(), key=lambda r: r[0]):
-        for block in blocks(page):
-            f = block[1].flags
-            bad = f & (_CHROME | _HEADER | _BAD | _HIDDEN)
-            if bad or f & _MAIN:
-                rows.append(features(block))
-                labels.append(0.0 if bad else 1.0)
-    return fit(np.array(rows).reshape(-1, len(FEATURES)), np.array(labels))
+    import xxhash
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("no", T.IntegerType()), T.StructField("text_hash", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("longest", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])))
+    def sampled(batch: pd.Series) -> pd.Series:
+        out = []
+        for page in batch:
+            found = blocks(page)
+            hashes = [xxhash.xxh64_intdigest(b[0]) - (1 << 63) for b in found]
+            longest = hashes[max(range(len(found)), key=lambda i: len(found[i][0]))] if found else 0
+            out.append([{"no": i, "text_hash": h, "words": b[0].count(" ") + 1, "longest": longest, "x": features(b)} for i, (b, h) in enumerate(zip(found, hashes))])
+        return pd.Series(out)
+
+    # Ids first, so that tasks send the driver a few bytes a row.
+    ids = [r[0] for r in pages.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    picked = pages.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"])
+    rows = written(picked.select("page_id", F.inline(sampled("html"))), "page-blocks")
+    seen = rows.groupBy("text_hash").agg(F.countDistinct("longest").alias("articles"))
+    known = rows.join(seen, "text_hash").where(f"articles > 1 OR words >= {LABEL_WORDS}")
+    return known.select("page_id", "no", "x", F.when(F.col("articles") > 1, 0.0).otherwise(1.0).alias("label"))
+
+
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
+    """Weights fitted on SAMPLE_BLOCKS labelled blocks at most, those with the least hash."""
+    known = labelled_blocks(pages, sample).orderBy(F.xxhash64("page_id", "no"), "page_id", "no").limit(SAMPLE_BLOCKS).select("x", "label").collect()
+    return fit(np.array([r[0] for r in known]).reshape(-1, len(FEATURES)), np.array([r[1] for r in known]))
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -343,10 +432,73 @@ def _distance(a: _Node, b: _Node) -> int:
 
 
 def _region(node: _Node) -> int:
-    """What marks a block's surroundings; labels are smooth within a region, not across its border."""
+    """What marks a block's surroundings; labels are smooth within a region, and less so across its border."""
     return node.flags & (_CHROME | _HEADER | _BAD | _HIDDEN)
 
 
+def neighbours(found: list[tuple[str, _Node, int]]) -> list[tuple[int, int, float]]:
+    """The smoothness edges (i, j, capacity) of a page's blocks: of blocks in order, by their distance in the tree, and of siblings."""
+    edges, last = [], {}
+    for i, (_, node, _) in enumerate(found):
+        if i:
+            before = found[i - 1][1]
+            edges.append((i - 1, i, (ORDER_EDGE if _region(before) == _region(node) else BORDER_EDGE) / max(1, _distance(before, node))))
+        near = ((node.parent or node).no, _region(node))
+        if near in last:
+            edges.append((last[near], i, DOM_EDGE))
+        last[near] = i
+    return edges
+
+
+def reduced_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """min_cut on what is open: a minimum cut of the whole, found piece by piece.
+
+    A node whose terminals differ by more than all its edges together goes to the
+    dearer side in every minimum cut; its edges then weigh on its neighbours.  What
+    remains falls into connected pieces, and one that leans to the same side
+    throughout is cut from the other without any flow.
+    """
+    n = len(source)
+    lean = [a - b for a, b in zip(source, sink)]
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, c in edges:
+        near[a].append((b, c))
+        near[b].append((a, c))
+    open_sum = [sum(c for _, c in edges_of) for edges_of in near]
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if side[i] is None and abs(lean[i]) > open_sum[i]:
+            side[i] = lean[i] > 0
+            for j, c in near[i]:
+                if side[j] is None:
+                    open_sum[j] -= c
+                    lean[j] += c if side[i] else -c
+                    queue.append(j)
+    for i in range(n):
+        if side[i] is not None:
+            continue
+        piece, stack, seen = [], [i], {i}
+        while stack:
+            a = stack.pop()
+            piece.append(a)
+            for j, _ in near[a]:
+                if side[j] is None and j not in seen:
+                    seen.add(j)
+                    stack.append(j)
+        if all(lean[a] > 0 for a in piece) or all(lean[a] <= 0 for a in piece):
+            for a in piece:
+                side[a] = lean[a] > 0
+            continue
+        at = {a: k for k, a in enumerate(piece)}
+        own = [(at[a], at[b], c) for a in piece for b, c in near[a] if a < b and b in at]
+        cut = min_cut([max(0.0, lean[a]) for a in piece], [max(0.0, -lean[a]) for a in piece], own)
+        for a, s in zip(piece, cut):
+            side[a] = s
+    return [bool(s) for s in side]
+
+
 def label(found: list[tuple[str, _Node, int]], weights: np.ndarray) -> list[bool]:
     """Whether each block is content."""
     if not found:
@@ -354,15 +506,7 @@ def label(found: list[tuple[str, _Node, int]], weights: np.ndarray) -> list[bool
     scores = np.clip(np.array([features(b) for b in found]) @ weights, -30, 30).tolist()
     source = [log(1 + exp(z)) for z in scores]  # lost if a content-like block goes
     sink = [log(1 + exp(-z)) for z in scores]  # lost if a boilerplate-like block stays
-    edges, last = [], {}
-    for i, (_, node, _) in enumerate(found):
-        if i and _region(found[i - 1][1]) == _region(node):
-            edges.append((i - 1, i, ORDER_EDGE / max(1, _distance(found[i - 1][1], node))))
-        near = ((node.parent or node).no, _region(node))
-        if near in last:
-            edges.append((last[near], i, DOM_EDGE))
-        last[near] = i
-    return min_cut(source, sink, edges)
+    return reduced_cut(source, sink, neighbours(found))
 
 
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
@@ -375,7 +519,8 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     A null or empty page, and one without content, has an empty text.  Whole pages
-    are read, whatever their length; repeated rows stay.
+    are read, whatever their length; repeated rows stay, and so do rows that share
+    an id, each with its own text; an empty table gives an empty result.
     """
     pages = columns_of(pages, ["page_id", "url", "html"])
     own = train(pages) if weights is None else weights
