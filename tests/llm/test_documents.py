@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -243,6 +244,25 @@ def test_base_digest_equals_brute_force(spark):
         assert [(s["start"], s["rank"], s["end"]) for s in sorted(r.base)] == spans
 
 
+def test_a_text_of_very_many_matches(spark):
+    n = 50_000
+    text = "0123456789abcdef01 " * n + "client_id=abc secret=abcdef " * 1000
+    docs = spark.createDataFrame([(None, text), (None, text), (1, "x" * 3_000_000 + " token=abcdefghijkl")], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = secrets.scan(docs).collect()
+    assert time.perf_counter() - began < 60
+    assert sorted(len(r.base) for r in rows) == [1, n, n] and sorted(len(r["all"]) for r in rows) == [1, n + 2000, n + 2000]
+    long = next(r for r in rows if r.doc_id is None)
+    assert [(s["start"], s["end"]) for s in long.base[:: n // 7]] == [(19 * i, 19 * i + 18) for i in range(0, n, n // 7)]
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    texts = ["secret: shortie then AKIASHORT9 near", "AKIASHORT9 alone", "secret: shortie only"]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[0]), (1, texts[0]), (1, texts[1])], "doc_id long, text string")
+    got = sorted((r.doc_id is None, len(r["all"])) for r in secrets.scan(docs).collect())
+    assert got == [(False, 0), (False, 2), (False, 2), (True, 0), (True, 0), (True, 2)]
+
+
 # decontamination
 
 

@@ -40,22 +40,39 @@ _SPAN = "struct<start: bigint, rank: int, end: bigint, kind: string>"
 _NONE = f"CAST(array() AS array<{_SPAN}>)"
 
 
+#: Matches that are summed up in one step; a step copies its matches once for each of them.
+STEP = 64
+
+
 def _found(text: str, pattern: str, group: int) -> Column:
-    """array<(start, end, value)> of a pattern's leftmost matches; offsets in code points.
+    """array<(start, end, n)> of a pattern's leftmost matches: offsets in code points, and the group's length.
 
     The text between matches and the matches themselves alternate, so lengths add
-    up to offsets.
+    up to offsets.  Appending to an array copies it, so matches are summed up in
+    steps of STEP, and the steps' results are appended to one another.
     """
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.slice(F.split(F.col(text), pattern, -1), 1, F.greatest(F.size(F.regexp_extract_all(F.col(text), p, F.lit(0))), F.lit(0))).alias("gap"), F.regexp_extract_all(F.col(text), p, F.lit(0)).alias("whole"), F.regexp_extract_all(F.col(text), p, F.lit(group)).alias("value"))
+    lengths = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
+    whole = lengths(F.regexp_extract_all(F.col(text), p, F.lit(0)))
+    parts = F.arrays_zip(lengths(F.split(F.col(text), pattern, -1)).alias("gap"), whole.alias("whole"), lengths(F.regexp_extract_all(F.col(text), p, F.lit(group))).alias("n") if group else whole.alias("n"))
+    span = "array<struct<start: bigint, end: bigint, n: bigint>>"
+    none = F.expr(f"CAST(array() AS {span})")
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["gap"]
+        end = start + x["whole"]
+        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["n"].alias("n"))).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"]).cast("long")
-        end = start + F.length(x["whole"]).cast("long")
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), F.length(x["value"]).alias("n"))).alias("out"))
+    def step(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["pos"].alias("pos"), none.alias("out")), one)
+        return F.struct(done["pos"].alias("pos"), F.array_append(acc["out"], done["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.expr("CAST(array() AS array<struct<start: bigint, end: bigint, n: int>>)").alias("out"))
-    return F.aggregate(parts, zero, step)["out"]
+    matches = F.filter(parts, lambda x: x["whole"].isNotNull())  # the text after the last match has none
+    # In a lambda's body an expression is computed for each element, so the matches are bound to a variable first.
+    chunked = lambda ms: F.transform(F.sequence(F.lit(0), F.floor((F.size(ms) - 1) / STEP).cast("int")), lambda i: F.slice(ms, i * STEP + 1, STEP))
+    steps = F.transform(F.array(matches), chunked)[0]
+    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.expr(f"CAST(array() AS array<{span}>)").alias("out"))
+    return F.flatten(F.aggregate(steps, zero, step)["out"])
 
 
 def _spans(text: str, pattern: str, group: int, kinds: list[tuple[str, int, int]]) -> Column:
@@ -118,8 +135,10 @@ def _text(spans: Column) -> Column:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, base and all (arrays of spans) for every row of documents.
 
-    Null texts are empty and have no spans.  Repeated rows stay, each with its
-    spans; parts of different rows never link, whether they share an id or not
+    Null texts are empty and have no spans; an empty table gives an empty result.
+    Whole texts are scanned, in time that grows with their length and matches.
+    Columns other than doc_id and text are not read.  Repeated rows stay, each with
+    its spans; parts of different rows never link, whether they share an id or not
     (unless they share the text too, and then they agree).
     """
     found = written(scanned(docs), "secret-parts")
