@@ -179,9 +179,9 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS
   UNION ALL {_found_sql(IDENTITY, 1, [("identity", 1, _MOST)])}
   UNION ALL {_found_sql(ENDPOINT, 0, [("endpoint", 1, _MOST)])}
 ), parts AS (SELECT *, {_RANKS} AS rank, {_ROLES} AS role FROM found), told AS (
-  SELECT *, EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'secret' AND abs(o.start - p.start) <= {SCOPE}) AS has_secret,
-    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'identity' AND abs(o.start - p.start) <= {SCOPE}) AS has_identity,
-    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'endpoint' AND abs(o.start - p.start) <= {SCOPE}) AS has_endpoint FROM parts p
+  SELECT *, EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'secret' AND o.start <= p."end" + {SCOPE} AND o."end" >= p.start - {SCOPE}) AS has_secret,
+    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'identity' AND o.start <= p."end" + {SCOPE} AND o."end" >= p.start - {SCOPE}) AS has_identity,
+    EXISTS (SELECT 1 FROM parts o WHERE o.rid = p.rid AND o.role = 'endpoint' AND o.start <= p."end" + {SCOPE} AND o."end" >= p.start - {SCOPE}) AS has_endpoint FROM parts p
 ), kept AS (
   SELECT * FROM told WHERE rank < 3 OR role = 'secret' AND (has_identity OR has_endpoint) OR role = 'identity' AND has_secret OR role = 'endpoint' AND has_secret AND has_identity
 ), listed AS (
