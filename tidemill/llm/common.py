@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
@@ -73,3 +73,18 @@ def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
     Tables may carry extra columns, some with names that an operator uses itself.
     """
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with _n, a number from zero up among those that agree in the keys (no nulls).
+
+    One value may hold a large share of all rows, so they are numbered within the
+    tasks that wrote them, and each task's numbers go on where those of the one
+    before ended.  Only one count per value and task meets in a window.
+    """
+    held = written(rows.withColumn("_part", F.spark_partition_id()), "numbered-rows")
+    counts = held.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_count"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = written(counts.select(*keys, "_part", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_start")), "number-starts")
+    own = held.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1)
+    return own.join(maybe_broadcast(starts, starts.count()), [*keys, "_part"]).select(*rows.columns, (F.col("_start") + F.col("_own")).alias("_n"))

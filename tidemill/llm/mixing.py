@@ -2,8 +2,10 @@
 
 Word totals per source give each source's target, hence its repetition rate
 target / size.  A document is taken floor(rate) times, and once more if a number in
-[0, 1) drawn from a hash of its doc_id falls below the rate's fraction.  Only the
-totals are shuffled, pre-aggregated in every task; the documents are not.
+[0, 1) drawn from a hash of its id and text falls below the rate's fraction.  Rows
+that repeat both draw by their number among their like, so that no two rows share a
+draw.  Only totals, and counts of the hashes, are shuffled, pre-aggregated in every
+task; the documents are not.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, maybe_broadcast, with_row, written
+from tidemill.llm.common import WORD, maybe_broadcast, numbered, with_row, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -55,15 +57,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of seed and id; null ids share one number."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def _drawn(text: Column) -> Column:
+    """A number from 52 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
+def row_draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number below 2 ** 52 from seed, id and text; null counts as empty."""
+    parts = [F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))]
+    return _drawn(F.concat_ws("|", *parts))
+
+
+def copies(rate: Column, draw: Column) -> Column:
     """floor(rate) and one more with the probability of the fraction."""
-    return (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return (F.floor(rate) + F.when(draw / F.lit(float(1 << 52)) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def _apart(rows: DataFrame, order: str) -> DataFrame:
+    """rows (_draw, _key of the source, ...) in which rows of one source with the same draw got draws of their own.
+
+    The first of them keeps it, the others draw from it and their number.
+    """
+    again = rows.groupBy("_draw", "_key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_draw", "_key")
+    again = written(again, "mix-repeats")
+    n = again.count()
+    if not n:
+        return rows
+    again = maybe_broadcast(again, n)
+    several = numbered(rows.join(again, ["_draw", "_key"], "left_semi"), ["_draw", "_key"], order)
+    own = _drawn(F.concat_ws("|", F.col("_draw").cast("string"), F.col("_n").cast("string")))
+    several = several.withColumn("_draw", F.when(F.col("_n") > 0, own).otherwise(F.col("_draw"))).drop("_n")
+    return rows.join(again, ["_draw", "_key"], "left_anti").unionByName(several)
+
+
+def _key(source: Column) -> Column:
+    """A source, null included, as text that is never null."""
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
 
 
 def _rates(sizes: DataFrame) -> DataFrame:
@@ -77,21 +106,26 @@ def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: a row for each copy, none for those not taken.
 
     All columns stay as they are.  Null texts have no words, so a source of such
-    documents only has target zero and is left out; rows that repeat an id share
-    their fate; an empty table gives an empty result.
+    documents only has target zero and is left out.  Rows that repeat id, text and
+    source draw apart; where they differ in other columns, which of them is taken
+    may depend on how the table is split into files, their number does not.  An
+    empty table gives an empty result.
     """
     rates = _rates(docs.select("source", words(F.col("text")).alias("size")))
-    joined = with_row(docs, "doc_id", "source").join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    n = copies(F.col("_rate"), F.col("doc_id")).cast("int")
+    rows = with_row(docs, "doc_id", "text", "source").select("_row", "source", row_draw(F.col("doc_id"), F.col("text")).alias("_draw"), _key(F.col("source")).alias("_key"))
+    joined = _apart(rows.withColumn("_order", F.xxhash64(F.to_json("_row"))), "_order").join(rates, F.col("source").eqNullSafe(F.col("_source")))
+    n = copies(F.col("_rate"), F.col("_draw")).cast("int")
     return joined.select("_row", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select("_row.*")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of documents."""
-    sizes = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+    """doc_id, size, source_size, target, taken of every row of documents, by the rules of ``mix``."""
+    sizes = docs.select("doc_id", "source", words(F.col("text")).alias("size"), row_draw(F.col("doc_id"), F.col("text")).alias("_draw"), _key(F.col("source")).alias("_key"))
+    sizes = written(sizes, "mix-sizes")
     rates = _rates(sizes.select("source", "size"))
-    joined = sizes.join(rates, sizes.source.eqNullSafe(rates._source))
-    return joined.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies(F.col("_rate"), F.col("doc_id"))).alias("taken"))
+    drawn = _apart(sizes, "size")
+    joined = drawn.join(rates, drawn.source.eqNullSafe(rates._source))
+    return joined.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * copies(F.col("_rate"), F.col("_draw"))).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +135,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS first_draw FROM documents
+), drawn AS (
+  SELECT doc_id, source, size, CASE WHEN k = 0 THEN first_draw ELSE CAST('0x' || substr(md5(first_draw || '|' || k), 1, 13) AS BIGINT) END AS draw
+  FROM (SELECT *, row_number() OVER (PARTITION BY first_draw, source) - 1 AS k FROM sizes)
 ), total AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
 ), weighed AS (
@@ -123,6 +161,6 @@ WITH sizes AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM held
 )
 SELECT s.doc_id, s.size, r.source_size, r.target,
-  CAST(s.size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix|' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+  CAST(s.size * (floor(rate) + CASE WHEN s.draw / CAST(4503599627370496 AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 """

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import with_row
+from tidemill.llm.common import with_row, written
 
 #: Fixed values of the contract: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -31,15 +31,19 @@ RULES = (
     ("shouting", "n_upper > n_lower and n_upper >= 20"),
     ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars > 20 * n_words or word_chars < 2 * n_words"),
+    ("no_words", "n_words = 0"),
+    ("long_repeats", "n_words >= 50 and 100 * n_repeat_words > 50 * n_words"),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
 
 #: Policies by version; a document is kept if it fails none of a policy's rules.
+#: "corpus" lets short texts pass that have no other fault; few words repeat windows easily, so repeats count from 50 on.
 POLICIES = {
     "base": BASE,
     "v1": BASE | BIT["symbols"] | BIT["shouting"],
-    "v2": (1 << len(RULES)) - 1,
+    "v2": BASE | BIT["symbols"] | BIT["shouting"] | BIT["repeated_lines"] | BIT["word_length"],
+    "corpus": BIT["symbols"] | BIT["shouting"] | BIT["repeated_lines"] | BIT["word_length"] | BIT["no_words"] | BIT["long_repeats"],
 }
 CURRENT = "v2"
 
@@ -119,20 +123,33 @@ def ablation(entries: DataFrame, policies: dict[str, int] | None = None) -> Data
     )
 
 
-def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with all their columns as they are."""
+def keep(docs: DataFrame, policy: str = "corpus") -> DataFrame:
+    """The documents that a policy keeps, with all their columns as they are.
+
+    Null and wordless texts go.  Whole texts are measured, one at a time; rows that
+    repeat share their fate; an empty table gives an empty result.
+    """
     rows = with_row(docs, "text").select("_row", _measured("text").alias("m")).select("_row", "m.*")
     return rows.withColumn("fail_bits", fail_bits()).where(passes(POLICIES[policy])).select("_row.*")
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents, as a table that policies and ablations read."""
+    return written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "quality-ledger")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered query: measures, base verdict and current policy's verdict of every document."""
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     failed = ~passes(BASE)
-    return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (passes(POLICIES[CURRENT]) & ~failed).alias("kept"), "fail_bits")
+    return entries(spark, sf_dir).select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (passes(POLICIES[CURRENT]) & ~failed).alias("kept"), "fail_bits")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered query: what every policy keeps of all documents, as it is and without each of its rules."""
+    return ablation(entries(spark, sf_dir))
 
 
-ORACLE_SQL = r"""
+_JUDGED_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), windows AS (
@@ -153,7 +170,22 @@ WITH docs AS (
   SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 100 * n_symbols > 15 * n_words THEN 4 ELSE 0 END) + (CASE WHEN n_upper > n_lower AND n_upper >= 20 THEN 8 ELSE 0 END)
     + (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END)
-    + (CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM counted
+    + (CASE WHEN word_chars > 20 * n_words OR word_chars < 2 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN n_words = 0 THEN 64 ELSE 0 END) + (CASE WHEN n_words >= 50 AND 100 * n_repeat_words > 50 * n_words THEN 128 ELSE 0 END) AS BIGINT) AS fail_bits FROM counted
 )
+"""
+
+ORACLE_SQL = f"""{_JUDGED_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM judged
 """
+
+ABLATION_SQL = f"""{_JUDGED_SQL}, policies(policy, without_rule, mask) AS (VALUES
+  ('base', NULL, 3), ('base', 'few_words', 2), ('base', 'repeated_windows', 1),
+  ('v1', NULL, 15), ('v1', 'few_words', 14), ('v1', 'repeated_windows', 13), ('v1', 'symbols', 11), ('v1', 'shouting', 7),
+  ('v2', NULL, 63), ('v2', 'few_words', 62), ('v2', 'repeated_windows', 61), ('v2', 'symbols', 59), ('v2', 'shouting', 55), ('v2', 'repeated_lines', 47), ('v2', 'word_length', 31),
+  ('corpus', NULL, 252), ('corpus', 'symbols', 248), ('corpus', 'shouting', 244), ('corpus', 'repeated_lines', 236), ('corpus', 'word_length', 220), ('corpus', 'no_words', 188), ('corpus', 'long_repeats', 124)
+)
+SELECT policy, without_rule, CAST(count(*) FILTER (WHERE fail_bits & mask = 0) AS BIGINT) AS kept,
+  CAST(bit_or(fail_bits & mask) AS BIGINT) AS failed_any, CAST(bit_and(fail_bits & mask) AS BIGINT) AS failed_all
+FROM judged, policies GROUP BY policy, without_rule
+"""

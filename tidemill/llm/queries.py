@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": url_rules.query,
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
+        "quality_ablation": quality.ablation_query,
     }
 
 
@@ -31,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_secrets": secrets.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op9_quality_rules": quality.ORACLE_SQL,
+        "op10_sharding": sharding.ORACLE_SQL,
+        "quality_ablation": quality.ABLATION_SQL,
     }
