@@ -3,7 +3,7 @@
 import hashlib
 import random
 import time
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -296,3 +296,49 @@ def test_mined_rules_block_what_goes_with_bad_labels(spark):
     verdict = {r.page_id: r.verdict for r in url_rules.judge(pages, labels).collect()}
     assert all(verdict[i] == ("block" if "pills" in u else "allow") for i, u, _ in rows) and verdict[900] == "block"
     assert url_rules.judge(pages.limit(0), labels).count() == 0
+
+
+def brute_rules(rows, min_count, min_lift, deviations):
+    """{tokens: (n, n_bad)} by listing every combination of items; rows are (tokens, bad)."""
+    on = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            on.setdefault(t, set()).add(i)
+    items = {}
+    for t, at in on.items():
+        items.setdefault(frozenset(at), []).append(t)
+    bad = {i for i, r in enumerate(rows) if r[1]}
+    share = len(bad) / len(rows)
+    items = [(at, ts) for at, ts in items.items() if len(at & bad) >= min_count]
+    found = {}
+    for k in range(1, len(items) + 1):
+        for chosen in combinations(range(len(items)), k):
+            at = frozenset.intersection(*(items[i][0] for i in chosen))
+            n, b = len(at), len(at & bad)
+            if b >= min_count and b / n >= min_lift * share and b - n * share >= deviations * (n * share * (1 - share)) ** 0.5:
+                found[chosen] = (n, b)
+    kept = {c: v for c, v in found.items() if not any(set(o) < set(c) and w[1] / w[0] >= v[1] / v[0] for o, w in found.items())}
+    return {tuple(sorted(t for i in c for t in items[i][1])): v for c, v in kept.items()}
+
+
+def test_mining_and_matching_equal_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(900):
+        tokens = {f"t{k}" for k in range(7) if rng.random() < 0.35} | {"always"}
+        tokens |= {f"{t}x" for t in tokens if t in ("t1", "t2")} | {f"t3x{j}" for j in range(40) if "t3" in tokens}  # tokens that go together: 2 ** 40 combinations otherwise
+        chance = 0.45 if "t1" in tokens else 0.5 if {"t4", "t5"} <= tokens else 0.15
+        rows.append((i % 850, sorted(tokens), rng.random() < chance))
+    df = spark.createDataFrame(rows, "page_id long, tokens array<string>, bad boolean")
+    for count, lift, z in ((10, 1.5, 5.0), (5, 1.2, 2.0)):
+        got = {tuple(r.tokens): (r.n, r.n_bad) for r in url_rules.mine(df, count, lift, z).collect()}
+        assert got == brute_rules([(r[1], r[2]) for r in rows], count, lift, z) and got
+    index = url_rules.mine(df)
+    urls = [f"http://{rng.choice(['t1', 't2', 'q'])}.t1x.net/{rng.choice(['t4', 't5', 'z'])}/{rng.choice(['t4', 't5'])}?{i}" for i in range(60)]
+    listed = spark.createDataFrame([(["host=net", "host=t1"], "host=t1"), (["path=t4", "path=t5"], "path=t5")], "tokens array<string>, anchor string")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    hit = lambda u: "//t1." in u or "/t4/" in u and "/t5?" in u or "/t5/" in u and "/t4?" in u
+    assert sorted(r.page_id for r in url_rules.matched(pages, listed).collect()) == [i for i, u in enumerate(urls) if hit(u)]
+    assert index.columns == [c.split()[0] for c in url_rules.RULE.split(", ")]
+    none = url_rules.mine(df.limit(0))
+    assert none.schema == index.schema or [f.dataType for f in none.schema] == [f.dataType for f in index.schema]

@@ -1,9 +1,13 @@
 """URL filters: fixed allow and block rules, and association rules mined from labels.
 
-Spark's FP-growth mines combinations of URL tokens that go with bad labels.  Rules
-are pruned by support and confidence, and again if a subset of their tokens does as
-well.  A URL is matched through an inverted index: each rule is listed under its
-rarest token, so a URL meets only the rules listed under its own tokens.
+Spark's FP-growth mines combinations of URL tokens that are frequent among pages
+with bad labels.  Tokens that are on the same labelled pages throughout are one item
+there, as k of them would list 2 ** k combinations that say the same.  Combinations
+are counted among all labelled pages, and pruned by support, by lift over the share
+of bad pages, and by significance of their confidence against that share; and again
+if a part of their tokens does as well.  A URL is matched through an inverted index:
+each rule is listed under its rarest token, so a URL meets only the rules listed
+under its own tokens.
 """
 
 from __future__ import annotations
@@ -22,12 +26,11 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-MIN_SUPPORT = 0.005
-MIN_CONFIDENCE = 0.6
-MIN_COUNT = 10
+#: What a mined rule needs: bad labelled pages, lift of its confidence over the share of bad pages, and deviations above that share.
+MIN_COUNT, MIN_LIFT, MIN_DEVIATIONS = 10, 1.5, 5.0
 #: Labelled URLs that rules are mined from, at most; those with the least hash of their id.
 SAMPLE = 500_000
-_BAD = "label=bad"
+RULE = "rule_id long, tokens array<string>, anchor string, n long, n_bad long, confidence double, lift double"
 
 
 def host(url: Column) -> Column:
@@ -78,39 +81,71 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(marks, "doc_id").select("page_id", "tokens", F.coalesce("bad", F.lit(False)).alias("bad"))
 
 
-def mine(rows: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, sample: int = SAMPLE) -> DataFrame:
-    """(rule_id, tokens, anchor, confidence, support): token combinations that go with bad labels.
+def items_of(rows: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """(item, tokens, n): the tokens with min_count bad rows or more, those on the same rows throughout as one item.
 
-    FP-growth runs on at most ``sample`` labelled pages.  A rule is dropped if a rule
-    on a subset of its tokens is as confident.  anchor is the rule's rarest token.
+    rows are (row, tokens, bad), with row unique.  Rows are compared by their number
+    and two XORs of their hashes.  An item is named by its least token.
+    """
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    on = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("bit_xor(xxhash64(row, 1))").alias("y"))
+    same = on.where(F.col("n_bad") >= min_count).groupBy("n", "x", "y").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    return same.select(F.element_at("tokens", 1).alias("item"), "tokens", "n")
+
+
+def mine(rows: DataFrame, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT, min_deviations: float = MIN_DEVIATIONS, sample: int = SAMPLE) -> DataFrame:
+    """Rules (RULE) on token combinations that go with bad labels.
+
+    At most ``sample`` labelled pages are mined, those with the least hash of their
+    id.  n of them have all of a rule's tokens, n_bad of these are bad; confidence is
+    their ratio, lift its ratio to the share of bad pages.  A rule is dropped if a
+    rule on a part of its items is as confident.  Without labelled pages, or bad
+    ones, there are no rules; pages without tokens, and repeated rows, count as
+    pages.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = rows.where("size(tokens) > 0")
-    rows = written(rows.orderBy(F.xxhash64("page_id"), "page_id").limit(sample), "url-labels")
-    n = rows.count()
-    none = "rule_id int, tokens array<string>, anchor string, confidence double, support double"
     spark = rows.sparkSession
-    if not n:
-        return spark.createDataFrame([], none)
-    baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", _BAD)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = written(rules, "url-rules")
+    picked = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    rows = written(picked.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "url-labels")
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    if n_bad < min_count:
+        return spark.createDataFrame([], RULE)
+    share = n_bad / n
+    items = written(items_of(rows, min_count), "url-items")
+    n_items = items.count()
+    if not n_items:
+        return spark.createDataFrame([], RULE)
+    each = rows.select("row", "bad", F.explode("tokens").alias("item")).join(maybe_broadcast(items.select("item", F.col("n").alias("_n")), n_items), "item")
+    baskets = written(each.groupBy("row", "bad").agg(F.collect_list("item").alias("items")), "url-baskets")
+    bad = baskets.where("bad").select("items")
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_count - 0.5) / bad.count()), minConfidence=1.0).fit(bad)
+    frequent = model.freqItemsets.select(F.array_sort("items").alias("items"))
+    named = written(_anchored(frequent, items.select("item", "n")), "url-combinations")
+    probes = baskets.select("bad", "items", F.explode("items").alias("anchor"))
+    met = probes.join(maybe_broadcast(named.select("anchor", F.col("items").alias("needed")), named.count()), "anchor").where("size(array_except(needed, items)) = 0")
+    counted = met.groupBy(F.col("needed").alias("items"), "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    judged = counted.withColumn("confidence", F.col("n_bad") / F.col("n")).withColumn("lift", F.col("confidence") / F.lit(share))
+    above = F.col("n_bad") - F.col("n") * F.lit(share) >= F.lit(min_deviations) * F.sqrt(F.col("n") * F.lit(share * (1 - share)))
+    rules = written(judged.where((F.col("n_bad") >= min_count) & (F.col("lift") >= min_lift) & above), "url-rules")
     n_rules = rules.count()
-    # Every token of a rule is frequent, so their counts are in the frequent sets.
-    counts = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    smaller = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("tokens", 1).alias("_token"))
-    listed = rules.withColumn("_token", F.explode("tokens"))
-    worse = listed.join(maybe_broadcast(smaller, n_rules), "_token").where("size(part) < size(tokens) AND part_confidence >= confidence AND size(array_except(part, tokens)) = 0").select("tokens").distinct()
-    kept = rules.join(worse, "tokens", "left_anti")
-    anchored = kept.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(counts, "token")
-    anchored = anchored.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return anchored.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "anchor", "confidence", "support")
+    smaller = rules.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"), F.element_at("items", 1).alias("_item"))
+    listed = rules.withColumn("_item", F.explode("items"))
+    worse = listed.join(maybe_broadcast(smaller, n_rules), "_item").where("size(part) < size(items) AND part_confidence >= confidence AND size(array_except(part, items)) = 0").select("items").distinct()
+    kept = rules.join(worse, "items", "left_anti")
+    whole = kept.withColumn("item", F.explode("items")).join(maybe_broadcast(items.select("item", "tokens"), n_items), "item")
+    whole = whole.groupBy("items", "anchor", "n", "n_bad", "confidence", "lift").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    return whole.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "anchor", "n", "n_bad", "confidence", "lift")
+
+
+def _anchored(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """(items, anchor): each set with its rarest item."""
+    of = sets.select("items", F.explode("items").alias("item")).join(counts, "item")
+    return of.groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("anchor"))
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page rows' keys (page_id, url_hash) of pages that some rule matches."""
+    """page rows' keys (page_id, url_hash) of pages that some rule matches: those that have all its tokens."""
     rules = written(rules, "url-index")
     index = maybe_broadcast(rules.select("anchor", F.col("tokens").alias("needed")), rules.count())
     urls = pages.select("page_id", F.xxhash64("url").alias("url_hash"), url_tokens(F.col("url")).alias("tokens"))
@@ -123,8 +158,9 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     A fixed rule decides where one fits; else a page that a mined rule matches is
     blocked and the others are allowed.  Null URLs, and those without ://, have
-    empty host and path and are allowed.  Repeated rows stay; without labels nothing
-    is mined.
+    empty host and path and are allowed.  URLs of any length are read whole.
+    Repeated rows stay; without labels nothing is mined; an empty table gives an
+    empty result.
     """
     pages, labels = columns_of(pages, ["page_id", "url"]), columns_of(labels, ["doc_id", "quality", "toxic"])
     hits = written(matched(pages, mine(labelled(pages, labels))), "url-hits").select(F.col("page_id").alias("_id"), F.col("url_hash").alias("_hash"))
