@@ -350,6 +350,15 @@ def test_leaks_are_found_and_clean_documents_left(spark, empty):
     assert decontaminate.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(texts)
 
 
+def test_a_passage_in_a_very_long_text(spark):
+    rng = random.Random(19)
+    noise = [f"n{rng.randrange(5000)}" for _ in range(150_000)]
+    item = [f"b{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(noise[:140_000] + item + noise[140_000:])), (2, " ".join(noise))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.agreeing, r.doc_from) for r in decontaminate.overlaps(docs, items).collect()] == [(1, 5, 13, 140_000)]
+
+
 def test_every_overlap_that_the_rule_accepts_has_a_seed(spark):
     bench, texts = [], {}
     for n in range(1, 15):

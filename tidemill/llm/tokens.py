@@ -126,7 +126,13 @@ def n_tokens(text: Column, path: str) -> Column:
 
 
 def counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row; null texts are empty, repeated rows stay."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row of documents.
+
+    Null texts are empty and have no tokens.  Whole texts are counted; those above
+    CHUNK characters chunk by chunk, so that the library never holds the tokens of
+    more than a few chunks.  Repeated rows stay; an empty table gives an empty
+    result.  Columns other than doc_id and text are not read.
+    """
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_tokens(F.col("text"), path).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
