@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 OVERLAP = 1 << 10
 LIMIT = 512
 #: Characters of text that are encoded in one call.
