@@ -270,15 +270,21 @@ def _forest(max_bits: int):
     return forest
 
 
-def links(keyed: DataFrame, tables: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK) -> DataFrame:
+def key_sizes(keyed: DataFrame) -> DataFrame:
+    """(key, n, a, b): the keys that more than one node has, with their number and the least and greatest of them."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
+    return written(sizes, "simhash-keys")
+
+
+def links(keyed: DataFrame, tables: DataFrame, max_bits: int = MAX_BITS, chunk: int = CHUNK, sizes: DataFrame | None = None) -> DataFrame:
     """(a, b): links between nodes that span their components.
 
     ``keyed`` has the candidate keys (node, key), ``tables`` each node's fingerprint
-    and its distances to the pivots (node, fp, pivoted).  Keys with one node go
-    first; candidate groups that many keys share are compared once.
+    and its distances to the pivots (node, fp, pivoted), ``sizes`` the key_sizes of
+    keyed if they are known.  Keys with one node go first; candidate groups that
+    many keys share are compared once.
     """
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
-    sizes = written(sizes, "simhash-keys")
+    sizes = key_sizes(keyed) if sizes is None else sizes
     tables_of = lambda side: tables.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}"), F.col("pivoted").alias(f"pivoted_{side}"))
     pairs = sizes.where("n = 2 AND a <> b").select("a", "b").distinct().join(tables_of("a"), "a").join(tables_of("b"), "b")
     pairs = pairs.where(_near(max_bits)("fp_a", "pivoted_a", "fp_b", "pivoted_b")).select("a", "b")
@@ -339,8 +345,8 @@ def _narrow(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return _grouped(rows.withColumn("node", F.col("fp")), distinct, keyed, max_bits).drop("node")
 
 
-def _wide_keys(texts: DataFrame, docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """texts (text_hash, fp, keys, ...) with keys in an order that has shared shingles last.
+def _wide_keys(texts: DataFrame, docs: DataFrame, hot_key: int = HOT_KEY) -> tuple[DataFrame, DataFrame]:
+    """The keys (node, key) of texts (text_hash, node, keys), in an order that has shared shingles last, and their key_sizes.
 
     The keys are exact under any order that all texts have in common; this one only
     keeps passages that very many texts share from bringing all of these together.
@@ -348,23 +354,26 @@ def _wide_keys(texts: DataFrame, docs: DataFrame, hot_key: int = HOT_KEY) -> Dat
     all keys, the shingles of the texts that have it are counted, and the hot ones
     among them, HOT_KEYS at most, come last for every text.
     """
-    keys = texts.select(F.explode("keys").alias("key")).groupBy("key").count()
-    limit = max(hot_key, (keys.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS)
-    hot = written(keys.where(F.col("count") > limit).select("key"), "hot-keys")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    sizes = key_sizes(keyed)
+    limit = max(hot_key, (texts.agg(F.sum(F.size("keys"))).first()[0] or 0) // HOT_KEYS)
+    hot = sizes.where(F.col("n") > limit).select("key")
     n_hot = hot.count()
     if not n_hot:
-        return texts
+        return keyed, sizes
     own = texts.select("text_hash", F.explode("keys").alias("key")).join(maybe_broadcast(hot, n_hot, BROADCAST_KEYS), "key", "left_semi")
     touched = written(own.select("text_hash").distinct(), "hot-texts")
     touched = maybe_broadcast(touched, touched.count())
     held = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(touched, "text_hash", "left_semi")
     each = held.select("text_hash", _shingles("text").alias("all")).dropDuplicates(["text_hash"])
-    shared = written(each.select(F.explode("all").alias("key")).groupBy("key").count().where(F.col("count") > limit), "hot-shingles")
+    shared = each.select(F.explode("all").alias("key")).groupBy("key").count().where(F.col("count") > limit)
     # Each has more than `limit` texts among those touched, whose shingles are about five times their keys.
     last = [r[0] for r in shared.orderBy(F.desc("count"), "key").limit(5 * HOT_KEYS).select("key").collect()]
     last = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(last, dtype=np.int64).view(np.uint64)))
     again = held.select("text_hash", _wide(last)("text").alias("w")).groupBy("text_hash").agg(F.first("w.keys").alias("again"))
-    return texts.join(again, "text_hash", "left").withColumn("keys", F.coalesce("again", "keys")).drop("again")
+    texts = written(texts.join(again, "text_hash", "left").select("node", F.coalesce("again", "keys").alias("keys")), "wide-texts")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    return keyed, key_sizes(keyed)
 
 
 def _wide_groups(docs: DataFrame, max_bits: int = WIDE_BITS, hot_key: int = HOT_KEY) -> DataFrame:
@@ -374,13 +383,13 @@ def _wide_groups(docs: DataFrame, max_bits: int = WIDE_BITS, hot_key: int = HOT_
     texts = written(texts.withColumn("node", F.xxhash64("fp")), "wide-texts")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     distinct = written(distinct.select(F.xxhash64("fp").alias("node"), "fp", "least_id", "copies", _pivoted("fp").alias("pivoted")), "distinct")
-    keyed = _wide_keys(texts, docs, hot_key).select("node", F.explode("keys").alias("key"))
-    return _grouped(rows.select("doc_id", "text_hash", "fp", F.xxhash64("fp").alias("node")), distinct, keyed, max_bits).drop("node")
+    keyed, sizes = _wide_keys(texts, docs, hot_key)
+    return _grouped(rows.select("doc_id", "text_hash", "fp", F.xxhash64("fp").alias("node")), distinct, keyed, max_bits, sizes).drop("node")
 
 
-def _grouped(rows: DataFrame, distinct: DataFrame, keyed: DataFrame, max_bits: int) -> DataFrame:
+def _grouped(rows: DataFrame, distinct: DataFrame, keyed: DataFrame, max_bits: int, sizes: DataFrame | None = None) -> DataFrame:
     """rows (doc_id, text_hash, fp, node) with component_id and root."""
-    root = components(links(keyed, distinct.select("node", "fp", "pivoted"), max_bits)).withColumnRenamed("node", "_node")
+    root = components(links(keyed, distinct.select("node", "fp", "pivoted"), max_bits, sizes=sizes)).withColumnRenamed("node", "_node")
     joined = distinct.join(root, distinct.node == F.col("_node"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = joined.select("node", "root").join(least, "root").select("node", "root", "component_id")
