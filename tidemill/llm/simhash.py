@@ -304,14 +304,23 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node points its larger
     neighbours, then its smaller ones, at the least node it knows.  The number of
     steps grows with the logarithm of a component's size; every step is an
-    aggregation and a join, and its result is a table in the shared folder.
+    aggregation and a join, and its result is a table in the shared folder.  Nodes
+    with very many neighbours, of which there are 1 / HOT_SHARE at most, get theirs by a
+    broadcast, so that no task holds all neighbours of one.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        up, (edges_now, most) = both.where("v > u"), least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+        many = max(HOT_COPIES, ceil(HOT_SHARE * edges_now))
+        if edges_now and most > many:
+            hubs = F.broadcast(least.where(F.col("n") > many).drop("n"))
+            large = up.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= many).drop("n"), "u").unionByName(up.join(hubs, "u"))
+        else:
+            large = up.join(least.drop("n"), "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
