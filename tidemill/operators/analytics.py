@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import query
 from tidemill.sources.fixtures import HOUR, NOW_US, SECOND, Fixtures
+from tidemill.sources.scratch import written
 
 #: Fixed names of the lifecycle's codes.
 STATES = {1: "forward", 2: "reversing", 3: "blocked_resolution", 4: "completed", 5: "reversed", 6: "resolved_exception", 7: "failed"}
@@ -69,8 +70,8 @@ def list_by_version(fx: Fixtures) -> DataFrame:
 def descend(fx: Fixtures, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, workflow_id, depth, path, truncated, cycle): every workflow under every root.
 
-    One join per level; it stops at max_depth, or where a path meets itself.  The
-    levels are as many as calls are deep, which the fixture bounds at two.
+    One join per level; it ends where no call goes deeper, at max_depth, or where a
+    path meets itself.
     """
     w = fx.workflow.select("workflow_id", "parent_id")
     edges = w.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("caller"), F.col("workflow_id").alias("child"))
@@ -78,6 +79,10 @@ def descend(fx: Fixtures, max_depth: int = MAX_DEPTH) -> DataFrame:
     found = level
     for depth in range(1, max_depth + 1):
         level = level.where("NOT cycle").join(edges, F.col("workflow_id") == F.col("caller")).select("root", F.col("child").alias("workflow_id"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle"))
+        if max_depth > 3:
+            level = written(level, "call-levels")
+            if level.isEmpty():
+                break
         found = found.unionByName(level)
     parents = edges.select(F.col("caller").alias("workflow_id")).distinct().withColumn("_more", F.lit(True))
     return found.join(parents, "workflow_id", "left").select("root", "workflow_id", "depth", "path", (F.coalesce("_more", F.lit(False)) & (F.col("depth") == max_depth)).alias("truncated"), "cycle")
@@ -157,26 +162,30 @@ def _own_verdicts(fx: Fixtures, now_us: int) -> DataFrame:
     return df.select("workflow_id", "script_name", "state", verdict.alias("verdict"), F.when(verdict == "waiting_on_child", F.col("next_id")).alias("next_id"))
 
 
-def verdicts(fx: Fixtures, now_us: int = NOW_US, max_hops: int = 2) -> DataFrame:
+def verdicts(fx: Fixtures, now_us: int = NOW_US, paths: bool = True) -> DataFrame:
     """Why each workflow does not move, and the path to the descendant that it waits for.
 
     Waiting workflows follow their first open child, hop by hop, to the deepest one;
-    a path that would meet itself ends.  Each hop is one join.
+    a path that would meet itself ends.  Each hop is one join on rows written once,
+    and hops go on until none is left, however deep calls are.
     """
     own = _own_verdicts(fx, now_us)
-    df = own.withColumn("path", F.array("workflow_id")).withColumn("end_verdict", F.col("verdict")).withColumn("hop", F.col("next_id"))
-    for k in range(max_hops):
-        at, at_verdict, at_next = f"at{k}", f"at{k}_verdict", f"at{k}_next"  # names of their own: every hop joins the same rows
-        step = own.select(F.col("workflow_id").alias(at), F.col("verdict").alias(at_verdict), F.col("next_id").alias(at_next))
-        df = df.join(step, F.col("hop") == F.col(at), "left")
-        more = F.col(at).isNotNull() & ~F.array_contains("path", F.col(at))
-        df = df.select(
-            "workflow_id", "script_name", "state", "verdict",
-            F.when(more, F.concat("path", F.array(at))).otherwise(F.col("path")).alias("path"),
-            F.when(more, F.col(at_verdict)).otherwise(F.col("end_verdict")).alias("end_verdict"),
-            F.when(more, F.col(at_next)).alias("hop"),
-        )
-    return df.select("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"), "verdict", "path", "end_verdict")
+    if not paths:
+        return own.select("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"), "verdict")
+    own = written(own, "verdicts")
+    ahead = own.select(F.col("workflow_id").alias("at"), F.col("verdict").alias("at_verdict"), F.col("next_id").alias("at_next"))
+    level = own.select("workflow_id", "next_id", F.array("workflow_id").alias("path"), F.col("verdict").alias("end_verdict"), F.lit(0).alias("hop"))
+    found = level.drop("next_id")
+    while True:
+        level = level.join(ahead, F.col("next_id") == F.col("at")).where(~F.array_contains("path", F.col("at")))
+        level = level.select("workflow_id", F.col("at_next").alias("next_id"), F.concat("path", F.array("at")).alias("path"), F.col("at_verdict").alias("end_verdict"), (F.col("hop") + 1).alias("hop"))
+        level = written(level, "verdict-hops")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.drop("next_id"))
+    last = found.groupBy("workflow_id").agg(F.max_by(F.struct("path", "end_verdict"), "hop").alias("last"))
+    rows = own.join(last, "workflow_id")
+    return rows.select("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"), "verdict", "last.path", "last.end_verdict")
 
 
 _VERDICT_SQL = f"""WITH RECURSIVE carry AS (
@@ -200,7 +209,7 @@ _VERDICT_SQL = f"""WITH RECURSIVE carry AS (
 @query("stuck", _VERDICT_SQL + f" SELECT o.workflow_id, o.script_name, {_STATE_SQL.format('o.state')} AS state_name, o.verdict FROM own o WHERE o.state < 4")
 def stuck(fx: Fixtures) -> DataFrame:
     """The verdict on every workflow that is not terminal."""
-    return verdicts(fx, max_hops=0).where("verdict <> 'terminal'").select("workflow_id", "script_name", "state_name", "verdict")
+    return verdicts(fx, paths=False).where("verdict <> 'terminal'")
 
 
 @query("stuck_path", _VERDICT_SQL + " SELECT o.workflow_id, o.verdict, array_to_string(l.path, '/') AS path, l.end_verdict FROM own o JOIN longest l ON l.workflow_id = o.workflow_id")
@@ -208,25 +217,29 @@ def stuck_path(fx: Fixtures) -> DataFrame:
     return verdicts(fx).select("workflow_id", "verdict", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "end_verdict")
 
 
-_STALLED_SQL = """SELECT w.workflow_id, w.script_name, p.plan_version, p.plan_length, w.state, e.reason FROM {workflow} w JOIN {plan} p ON p.workflow_id = w.workflow_id
-JOIN (SELECT workflow_id, arg_max(kind, (event_us, event_id)) AS kind, arg_max(json_extract_string(payload, '$.k'), (event_us, event_id)) AS reason FROM {event} GROUP BY workflow_id) e ON e.workflow_id = w.workflow_id
-WHERE w.state IN (1, 2) AND w.lease_owner IS NULL AND e.kind IN ('operation_dispatch_deferred', 'operation_failed')"""
+#: Fixed: the event and the reason that mean a workflow waits for a revision that no worker has.
+STALL_KIND, STALL_REASON = "operation_dispatch_deferred", "revision_unavailable"
+
+_STALLED_SQL = f"""SELECT w.workflow_id, w.script_name, p.plan_version, p.content_hash, p.plan_length, w.state, w.execution_direction, {_iso_sql("w.current_event_us")} AS current_event, {_iso_sql("w.next_attempt_us")} AS next_attempt, e.reason
+FROM {{pointed_workflow}} w, {{plan}} p, {{reasoned_event}} e
+WHERE p.workflow_id = w.workflow_id AND e.workflow_id = w.workflow_id AND e.event_us = w.current_event_us AND (w.state = 1 OR w.state = 2) AND w.lease_owner IS NULL AND e.kind LIKE 'operation_dispatch_deferred' AND e.reason LIKE 'revision_unavailable'"""
 
 
 @query("stalled", _STALLED_SQL)
 def stalled(fx: Fixtures) -> DataFrame:
-    """Workflows that wait without a lease after a deferral: the latest event joined through the workflow's pointer to it."""
-    pointer = fx.event.groupBy("workflow_id").agg(F.max(F.struct("event_us", "event_id")).alias("p")).select("workflow_id", "p.event_us", "p.event_id")
-    latest = fx.event.join(pointer, ["workflow_id", "event_us", "event_id"]).where(F.col("kind").isin("operation_dispatch_deferred", "operation_failed"))
-    rows = fx.workflow.where(F.col("state").isin(1, 2) & F.col("lease_owner").isNull()).join(fx.plan, "workflow_id").join(latest.select("workflow_id", "payload"), "workflow_id")
-    return rows.select("workflow_id", "script_name", "plan_version", "plan_length", "state", F.get_json_object("payload", "$.k").alias("reason"))
+    """Workflows that wait without a lease since their plan's revision was not to be had: their own pointer names the event that says so."""
+    events = fx.reasoned_event.where((F.col("kind") == STALL_KIND) & (F.col("reason") == STALL_REASON)).select("workflow_id", F.col("event_us").alias("current_event_us"), "reason")
+    waiting = fx.pointed_workflow.where(F.col("state").isin(1, 2) & F.col("lease_owner").isNull())
+    rows = waiting.join(fx.plan, "workflow_id").join(events, ["workflow_id", "current_event_us"])
+    return rows.select("workflow_id", "script_name", "plan_version", "content_hash", "plan_length", "state", "execution_direction", iso(F.col("current_event_us")).alias("current_event"), iso(F.col("next_attempt_us")).alias("next_attempt"), "reason")
 
 
-@query("stalled_report", f"SELECT CAST(count(*) AS BIGINT) AS n, coalesce(string_agg(CAST(workflow_id AS VARCHAR), ',' ORDER BY workflow_id), '') AS ids FROM ({_STALLED_SQL})")
+@query("stalled_report", f"SELECT workflow_id, script_name, CAST(count(*) OVER () AS BIGINT) AS n, json_object('workflow_id', workflow_id, 'script_name', script_name, 'plan_version', plan_version, 'state', state, 'reason', reason)::VARCHAR AS item FROM ({_STALLED_SQL})")
 def stalled_report(fx: Fixtures) -> DataFrame:
-    """The stalled workflows as one document; it is as long as the report is."""
-    ids = F.array_sort(F.collect_list("workflow_id"))
-    return stalled(fx).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+    """The stalled workflows as items of one report, each with the report's length; the report may be of any length."""
+    rows = written(stalled(fx), "stalled")
+    item = F.to_json(F.struct("workflow_id", "script_name", "plan_version", "state", "reason"))
+    return rows.select("workflow_id", "script_name", F.lit(rows.count()).cast("long").alias("n"), item.alias("item")).orderBy("workflow_id")
 
 
 @query("health_bounds", f"SELECT CAST({NOW_US} - 86400000000 AS BIGINT) AS since_us, CAST({NOW_US} + 1000000 AS BIGINT) AS until_us, {_iso_sql(str(NOW_US))} AS now, count(*) AS n FROM {{workflow}} WHERE created_us BETWEEN {NOW_US} - 86400000000 AND {NOW_US} + 1000000")

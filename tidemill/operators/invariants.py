@@ -25,8 +25,19 @@ def broken(rows: DataFrame, condition: str, key: str = "workflow_id") -> DataFra
     return rows.where(~F.coalesce(F.expr(condition), F.lit(False))).select(key)
 
 
+#: The same checks in DuckDB SQL, by what is unsound and written apart from the conditions above.
+_UNSOUND = {
+    "state_code": "state IS NULL OR state NOT IN (1, 2, 3, 4, 5, 6, 7)",
+    "direction_code": "execution_direction IS NULL OR execution_direction < 1 OR execution_direction > 2",
+    "state_disposition": "NOT coalesce(list_contains(CASE state WHEN 1 THEN [0] WHEN 2 THEN [2, 3] WHEN 3 THEN [2, 3, 4] WHEN 4 THEN [1] WHEN 5 THEN [2, 3] WHEN 6 THEN [2, 3, 4] WHEN 7 THEN [2, 3] END, current_disposition), false)",
+    "state_direction": "NOT coalesce(list_contains(CASE state WHEN 1 THEN [1] WHEN 2 THEN [2] WHEN 3 THEN [1, 2] WHEN 4 THEN [1] WHEN 5 THEN [2] WHEN 6 THEN [1, 2] WHEN 7 THEN [2] END, execution_direction), false)",
+    "lease_pair": "(lease_owner IS NULL AND lease_expires_us IS NOT NULL) OR (lease_owner IS NOT NULL AND lease_expires_us IS NULL)",
+    "return_document": "(state = 4 AND return_json IS NULL) OR (state IS DISTINCT FROM 4 AND return_json IS NOT NULL) OR state IS NULL",
+    "ancestry": "CASE WHEN parent_id IS NULL THEN root_id IS NOT NULL OR call_depth IS DISTINCT FROM 0 ELSE root_id IS NULL OR call_depth IS NULL OR call_depth < 1 END",
+}
+
 for _name, (_view, _sound) in CHECKS.items():
-    register(f"inv_{_name}", (lambda fx, view=_view, sound=_sound: broken(getattr(fx, view), sound)), f"SELECT workflow_id FROM {{{_view}}} WHERE NOT coalesce({_sound}, false)")
+    register(f"inv_{_name}", (lambda fx, view=_view, sound=_sound: broken(getattr(fx, view), sound)), f"SELECT workflow_id FROM {{{_view}}} WHERE {_UNSOUND[_name]}")
 
 
 def _operation_result(fx: Fixtures) -> DataFrame:

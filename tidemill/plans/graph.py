@@ -1,21 +1,19 @@
 """Plan graphs as rows: edges of many graphs at once, checked by joins.
 
 A plan's own nodes are few, but plans are many; so structure checks run over an
-edge table (plan, source, target), all plans together, level by level.
+edge table (plan, source, target), all plans together.  Paths are found by squaring:
+each step joins all paths known so far to one another, so their length doubles, and
+the steps end when nothing changes, however long the plans are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import query
 from tidemill.sources.fixtures import Fixtures
-
-#: Nodes on the longest path of a plan, at most; fixture plans have nine.
-MAX_NODES = 9
+from tidemill.sources.scratch import written
 
 
 def plans(fx: Fixtures) -> DataFrame:
@@ -24,7 +22,7 @@ def plans(fx: Fixtures) -> DataFrame:
     Plans with a number divisible by 13 loop back, those divisible by 17 have an edge
     to a node that does not exist.
     """
-    sized = fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 6).cast("long").alias("n"))
+    sized = fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 19).cast("long").alias("n"))
     chain = sized.select("plan", "n", F.explode(F.expr("sequence(1L, n - 1)")).alias("source")).select("plan", "source", (F.col("source") + 1).alias("target"))
     skip = sized.where("plan % 2 = 0").select("plan", F.lit(1).cast("long").alias("source"), F.lit(3).cast("long").alias("target"))
     back = sized.where("plan % 13 = 0").select("plan", F.col("n").alias("source"), F.lit(2).cast("long").alias("target"))
@@ -32,27 +30,51 @@ def plans(fx: Fixtures) -> DataFrame:
     return chain.unionByName(skip).unionByName(back).unionByName(lost)
 
 
-_PLANS_SQL = """sized AS (SELECT CAST(c_custkey AS BIGINT) AS plan, CAST(3 + c_custkey % 6 AS BIGINT) AS n FROM customer),
+_PLANS_SQL = """sized AS (SELECT CAST(c_custkey AS BIGINT) AS plan, CAST(3 + c_custkey % 19 AS BIGINT) AS n FROM customer),
 edges AS (SELECT plan, s AS source, s + 1 AS target FROM (SELECT plan, unnest(range(1, n)) AS s FROM sized)
 UNION ALL SELECT plan, 1, 3 FROM sized WHERE plan % 2 = 0 UNION ALL SELECT plan, n, 2 FROM sized WHERE plan % 13 = 0 UNION ALL SELECT plan, 2, 99 FROM sized WHERE plan % 17 = 0)"""
 
 
-def walk(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], steps: int = MAX_NODES) -> DataFrame:
-    """(plan, start, node, depth) of paths from the frontier that ``keep`` allows, one join a level."""
-    level = edges.where("source = 1").select("plan", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth")).distinct()
-    found = level
-    ways = edges.select("plan", F.col("source").alias("node"), "target")
-    for depth in range(1, steps + 1):
-        level = keep(level.select("plan", "node").join(ways, ["plan", "node"]).select("plan", F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct())
-        found = found.unionByName(level)
-    return found
+def closure(edges: DataFrame, lengths: bool = False) -> DataFrame:
+    """(plan, source, target[, longest, shortest]): which nodes a node leads to.
+
+    With ``lengths``, of the paths between them; the plans must be acyclic then, as
+    paths around a cycle have no greatest length.
+    """
+    on = ["plan", "source", "target"]
+    measures = [F.max("longest").alias("longest"), F.min("shortest").alias("shortest")] if lengths else []
+    now = edges.select(on)
+    now = now.distinct() if not lengths else now.distinct().withColumns({"longest": F.lit(1), "shortest": F.lit(1)})
+    now, seen = written(now, "paths"), None
+    while True:
+        ahead = now.select("plan", F.col("source").alias("middle"), F.col("target").alias("end"), *([F.col("longest").alias("more"), F.col("shortest").alias("less")] if lengths else []))
+        longer = now.withColumnRenamed("target", "middle").join(ahead, ["plan", "middle"])
+        sums = [(F.col("longest") + F.col("more")).alias("longest"), (F.col("shortest") + F.col("less")).alias("shortest")] if lengths else []
+        both = now.unionByName(longer.select("plan", "source", F.col("end").alias("target"), *sums))
+        now = written(both.groupBy(on).agg(*measures) if lengths else both.distinct(), "paths")
+        sign = now.agg(F.count(F.lit(1)), *([F.sum("longest"), F.sum("shortest")] if lengths else [])).first()
+        if sign == seen:
+            return now
+        seen = sign
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(plan): plans with a node that leads back to itself."""
+    return closure(edges).where("source = target").select("plan").distinct()
+
+
+def from_entry(edges: DataFrame) -> DataFrame:
+    """(plan, node, longest, shortest): the ways from node 1 to every node of the acyclic plans, itself at 0."""
+    sound = edges.join(written(cyclic(edges), "cyclic"), "plan", "left_anti")
+    start = sound.select("plan", F.lit(1).cast("long").alias("node"), F.lit(0).alias("longest"), F.lit(0).alias("shortest")).distinct()
+    return start.unionByName(closure(sound, lengths=True).where("source = 1").select("plan", F.col("target").alias("node"), "longest", "shortest"))
 
 
 @query("graph_dangling", f"WITH {_PLANS_SQL} SELECT e.plan, e.source, e.target FROM edges e JOIN sized s ON s.plan = e.plan WHERE e.target > s.n")
 def graph_dangling(fx: Fixtures) -> DataFrame:
     """Edges to nodes that a plan does not have."""
     edges = plans(fx)
-    nodes = edges.select("plan", F.col("source").alias("target")).unionByName(fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 6).cast("long").alias("target"))).distinct()
+    nodes = edges.select("plan", F.col("source").alias("target")).unionByName(fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 19).cast("long").alias("target"))).distinct()
     return edges.join(nodes, ["plan", "target"], "left_anti").select("plan", "source", "target")
 
 
@@ -62,27 +84,32 @@ def graph_branches(fx: Fixtures) -> DataFrame:
     return plans(fx).groupBy("plan", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("graph_cycle", f"WITH {_PLANS_SQL} SELECT plan FROM sized WHERE plan % 13 = 0")
+@query(
+    "graph_cycle",
+    f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, source, target FROM edges UNION SELECT w.plan, w.source, e.target FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.target) SELECT DISTINCT plan FROM w WHERE source = target",
+)
 def graph_cycle(fx: Fixtures) -> DataFrame:
-    """Plans in which some path from the entry is longer than an acyclic plan's could be."""
-    return walk(plans(fx), lambda level: level).where(F.col("depth") == MAX_NODES).select("plan").distinct()
+    """Plans in which some node leads back to itself."""
+    return cyclic(plans(fx))
 
 
-@query(
-    "graph_depth",
-    f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, CAST(1 AS BIGINT) AS node, 0 AS depth FROM sized WHERE plan % 13 <> 0 UNION SELECT w.plan, e.target, w.depth + 1 FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node) SELECT plan, CAST(max(depth) AS INT) AS longest, CAST(min(CASE WHEN node = 3 THEN depth END) AS INT) AS to_third FROM w GROUP BY plan",
-)
+_ACYCLIC_SQL = f"""WITH RECURSIVE {_PLANS_SQL}, c AS (SELECT plan, source, target FROM edges UNION SELECT c.plan, c.source, e.target FROM c JOIN edges e ON e.plan = c.plan AND e.source = c.target), sound AS (SELECT plan FROM sized WHERE plan NOT IN (SELECT plan FROM c WHERE source = target)),
+w AS (SELECT plan, CAST(1 AS BIGINT) AS node, 0 AS depth FROM sound UNION SELECT w.plan, e.target, w.depth + 1 FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node)"""
+
+
+@query("graph_depth", f"{_ACYCLIC_SQL} SELECT plan, CAST(max(depth) AS INT) AS longest, CAST(min(CASE WHEN node = 3 THEN depth END) AS INT) AS to_third FROM w GROUP BY plan")
 def graph_depth(fx: Fixtures) -> DataFrame:
     """Longest path of each acyclic plan, and the shortest way to its third node."""
-    found = walk(plans(fx).where("plan % 13 <> 0"), lambda level: level)
-    return found.groupBy("plan").agg(F.max("depth").alias("longest"), F.min(F.when(F.col("node") == 3, F.col("depth"))).alias("to_third"))
+    found = from_entry(plans(fx))
+    return found.groupBy("plan").agg(F.max("longest").alias("longest"), F.min(F.when(F.col("node") == 3, F.col("shortest"))).alias("to_third"))
 
 
-@query("graph_reach", f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, CAST(1 AS BIGINT) AS node FROM sized UNION SELECT e.plan, e.target FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node WHERE e.source <> 2) SELECT plan, count(*) AS reached FROM w GROUP BY plan")
+@query("graph_reach", f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, CAST(1 AS BIGINT) AS node FROM edges WHERE source = 1 AND source <> 2 UNION SELECT e.plan, e.target FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node WHERE e.source <> 2) SELECT plan, count(*) AS reached FROM w GROUP BY plan")
 def graph_dominated(fx: Fixtures) -> DataFrame:
     """How many nodes are reached without passing node 2: what it does not dominate."""
     edges = plans(fx).where("source <> 2")
-    found = walk(edges, lambda level: level).select("plan", "node").distinct()
+    start = edges.where("source = 1").select("plan", F.col("source").alias("node")).distinct()
+    found = start.unionByName(closure(edges).where("source = 1").select("plan", F.col("target").alias("node"))).distinct()
     return found.groupBy("plan").agg(F.count(F.lit(1)).alias("reached"))
 
 
@@ -91,21 +118,16 @@ def graph_dominated(fx: Fixtures) -> DataFrame:
     "WITH RECURSIVE calls AS (SELECT DISTINCT p.script_name AS caller, h.script_name AS callee FROM {call} c JOIN {workflow} p ON p.workflow_id = c.workflow_id JOIN {workflow} h ON h.workflow_id = c.child_id), w AS (SELECT caller AS origin, callee AS reached FROM calls UNION SELECT w.origin, c.callee FROM w JOIN calls c ON c.caller = w.reached) SELECT origin AS script_name FROM w WHERE origin = reached",
 )
 def call_cycle(fx: Fixtures) -> DataFrame:
-    """Scripts that may come to call themselves, through any others; there are five scripts."""
+    """Scripts that may come to call themselves, through any others."""
     names = fx.workflow.select("workflow_id", "script_name")
-    calls = fx.call.select("workflow_id", "child_id").join(names, "workflow_id").select("child_id", F.col("script_name").alias("caller"))
-    calls = calls.join(names.select(F.col("workflow_id").alias("child_id"), F.col("script_name").alias("callee")), "child_id").select("caller", "callee").distinct()
-    reached = calls.select(F.col("caller").alias("start"), F.col("callee").alias("at"))
-    for _ in range(3):  # squared three times: chains of up to eight
-        reached = reached.unionByName(reached.join(reached.select(F.col("start").alias("at"), F.col("at").alias("beyond")), "at").select("start", F.col("beyond").alias("at"))).distinct()
-    return reached.where("start = at").select(F.col("start").alias("script_name"))
+    calls = fx.call.select("workflow_id", "child_id").join(names, "workflow_id").select("child_id", F.col("script_name").alias("source"))
+    calls = calls.join(names.select(F.col("workflow_id").alias("child_id"), F.col("script_name").alias("target")), "child_id")
+    found = closure(calls.select(F.lit(0).alias("plan"), "source", "target").distinct())
+    return found.where("source = target").select(F.col("source").alias("script_name")).distinct()
 
 
-@query(
-    "graph_order",
-    f"WITH RECURSIVE {_PLANS_SQL}, w AS (SELECT plan, CAST(1 AS BIGINT) AS node, 0 AS depth FROM sized WHERE plan % 13 <> 0 UNION SELECT w.plan, e.target, w.depth + 1 FROM w JOIN edges e ON e.plan = w.plan AND e.source = w.node) SELECT plan, node, CAST(row_number() OVER (PARTITION BY plan ORDER BY max(depth), node) AS INT) AS place FROM w GROUP BY plan, node",
-)
+@query("graph_order", f"{_ACYCLIC_SQL} SELECT plan, node, CAST(row_number() OVER (PARTITION BY plan ORDER BY max(depth), node) AS INT) AS place FROM w GROUP BY plan, node")
 def graph_order(fx: Fixtures) -> DataFrame:
     """A topological order of each acyclic plan: by the longest way to a node, ties by its number."""
-    far = walk(plans(fx).where("plan % 13 <> 0"), lambda level: level).groupBy("plan", "node").agg(F.max("depth").alias("depth"))
-    return far.select("plan", "node", F.row_number().over(Window.partitionBy("plan").orderBy("depth", "node")).alias("place"))
+    far = from_entry(plans(fx))
+    return far.select("plan", "node", F.row_number().over(Window.partitionBy("plan").orderBy("longest", "node")).alias("place"))

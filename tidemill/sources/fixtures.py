@@ -116,6 +116,11 @@ SELECT c.item_key, CAST(c.current_event_us + (c.item_key % 4 * 40 - 40) * {SECON
 FROM {{work_item}} AS c
 UNION ALL
 SELECT CAST(-1 - r_regionkey AS BIGINT), CAST({NOW_US} AS BIGINT), CAST(0 AS BIGINT) FROM {{region}} AS r""",
+    "pointed_workflow": """
+SELECT w.workflow_id, w.script_name, w.state, w.execution_direction, w.lease_owner, w.next_attempt_us, CAST(coalesce(e.last_us, w.current_event_us) AS BIGINT) AS current_event_us
+FROM {workflow} AS w LEFT JOIN (SELECT workflow_id, max(event_us) AS last_us FROM {event} GROUP BY workflow_id) AS e ON e.workflow_id = w.workflow_id""",
+    "reasoned_event": """
+SELECT workflow_id, event_us, event_id, kind, CASE WHEN event_id % 3 = 0 THEN 'route_unavailable' ELSE 'revision_unavailable' END AS reason FROM {event}""",
     "dirty_workflow": """
 SELECT workflow_id, CAST(CASE WHEN workflow_id % 101 = 0 THEN 9 ELSE state END AS INT) AS state,
   CAST(CASE WHEN workflow_id % 103 = 0 THEN 3 ELSE execution_direction END AS INT) AS execution_direction,

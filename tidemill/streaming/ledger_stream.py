@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Microseconds after the state's time from which a rejected event may be tried again.
 RETRY_US = 5_000_000
+#: Result rows in a batch.
+ROWS = 10_000
 
 EVENT = "item_key long, event_us long, event_type int, status int, lease_token long"
 STATE = "event_us long, status int, holder long, n_events long"
@@ -44,9 +46,11 @@ def fold(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = tuple(held.get) if held.exists else None
-        for batch in batches:
+        # An item's events of a micro-batch come in several Arrow batches; they are put in order together, four longs each.
+        mine = pd.concat(batches).sort_values("event_us", kind="stable")
+        for lo in range(0, len(mine), ROWS):
             out = []
-            for e in batch.sort_values("event_us", kind="stable").itertuples(index=False):
+            for e in mine.iloc[lo : lo + ROWS].itertuples(index=False):
                 state, reason = decide(state, int(e.event_us), int(e.event_type), int(e.status), int(e.lease_token))
                 at, status, holder, n = state or (0, 0, -1, 0)
                 out.append((key[0], int(e.event_us), reason is None, reason, status, holder, n, at + RETRY_US if reason == "event_time_skew" else None))
