@@ -30,7 +30,7 @@ def json_guard(fx: Fixtures) -> DataFrame:
     return fx.events.select("event_id", strict_object(doc).alias("sound"))
 
 
-@query("strict_json")
+@query("strict_json", "SELECT event_id, event_id % 3 = 0 AS sound FROM {events}")
 def strict_json(fx: Fixtures) -> DataFrame:
     """Repeated keys, at any depth, make a document unsound."""
     k = F.col("event_id") % 3
@@ -77,16 +77,39 @@ def joined(*parts: Column) -> Column:
     return F.concat(*[x for p in parts for x in (F.octet_length(p).cast("string"), F.lit(":"), p, F.lit(";"))])
 
 
+#: Fixed tags that keep the spaces of identities apart.
+OPERATION_TAG, CALL_TAG, REVERSE_TAG, INVOCATION_TAG = "mf-op;", "mf-call;", "reverse:1", "inv:1"
+
 _OP_TEXT = "'mf-op;' || strlen(CAST(workflow_id AS VARCHAR)) || ':' || workflow_id || ';' || strlen(operation_name) || ':' || operation_name || ';' || strlen(CAST(operation_seq AS VARCHAR)) || ':' || operation_seq || ';'"
 
 
 @query("op_identity", f"SELECT operation_id, {_uuid3_sql(_OP_TEXT)} AS identity FROM {{operation}}")
 def op_identity(fx: Fixtures) -> DataFrame:
     """Deterministic operation ids, so that a repeated request is the same request."""
-    text = F.concat(F.lit("mf-op;"), joined(F.col("workflow_id").cast("string"), F.col("operation_name"), F.col("operation_seq").cast("string")))
+    text = F.concat(F.lit(OPERATION_TAG), joined(F.col("workflow_id").cast("string"), F.col("operation_name"), F.col("operation_seq").cast("string")))
     return fx.operation.select("operation_id", uuid3(text).alias("identity"))
 
 
+_KEYED = "strlen(CAST({0} AS VARCHAR)) || ':' || {0} || ';'"
+_NODE_SQL = "'mf-call;' || " + " || ".join(_KEYED.format(x) for x in ("c.workflow_id", "p.content_hash", "c.operation_seq"))
+_BACK_SQL = " || ".join(_KEYED.format(x) for x in ("workflow_id", "1", "seq"))
+
+
+@query("call_identity", f"SELECT c.child_id, {_uuid3_sql(_NODE_SQL)} AS identity FROM {{call}} c JOIN {{plan}} p ON p.workflow_id = c.workflow_id")
+def call_identity(fx: Fixtures) -> DataFrame:
+    """A called workflow's id, from its caller, the caller's plan and the place of the call; it is the caller's operation id too."""
+    rows = fx.call.select("workflow_id", "operation_seq", "child_id").join(fx.plan.select("workflow_id", "content_hash"), "workflow_id")
+    text = F.concat(F.lit(CALL_TAG), joined(F.col("workflow_id").cast("string"), F.col("content_hash"), F.col("operation_seq").cast("string")))
+    return rows.select("child_id", uuid3(text).alias("identity"))
+
+
+@query("reverse_identity", f"SELECT workflow_id, seq, {_uuid3_sql(_BACK_SQL + " || 'reverse:1'")} AS reverse_identity, {_uuid3_sql(_BACK_SQL + " || 'inv:1'")} AS identity FROM {{checkpoint}}")
+def reverse_identity(fx: Fixtures) -> DataFrame:
+    """Ids by position, of a compensation and of the operation that it undoes; a script's revision is 1."""
+    place = joined(F.col("workflow_id").cast("string"), F.lit("1"), F.col("seq").cast("string"))
+    return fx.checkpoint.select("workflow_id", "seq", uuid3(F.concat(place, F.lit(REVERSE_TAG))).alias("reverse_identity"), uuid3(F.concat(place, F.lit(INVOCATION_TAG))).alias("identity"))
+
+
 @query("ts_render", "SELECT workflow_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(created_at + INTERVAL 5 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS later FROM {workflow}")
 def ts_render(fx: Fixtures) -> DataFrame:
     return fx.workflow.select("workflow_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"), F.date_format(F.col("created_at") + F.expr("INTERVAL 5 SECONDS"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("later"))
@@ -275,6 +298,77 @@ def op_prefix_id(fx: Fixtures) -> DataFrame:
     return fx.operation.select("operation_id", F.concat(prefix, F.col("workflow_id").cast("string"), F.lit("-"), F.col("operation_seq").cast("string")).alias("ref"))
 
 
+# participants' operations, the input field that their result's id is made of, its name, and its prefix.
+REFERENCES = {
+    "authorize": ("order_id", "auth_id", "auth"),
+    "void_authorization": ("order_id", "void_id", "void"),
+    "capture": ("auth_id", "capture_id", "cap"),
+    "refund_capture": ("auth_id", "refund_id", "rfnd"),
+    "refund": ("capture_id", "refund_id", "rfnd"),
+    "record_ledger": ("reference", "ledger_entry_id", "led"),
+    "notify_customer": ("customer_id", "notification_id", "ntf"),
+    "reserve_inventory": ("order_id", "reservation_id", "rsv"),
+    "release_inventory": ("order_id", "released_reservation_id", "rel"),
+    "commit_shipment": ("reservation_id", "shipment_id", "shp"),
+    "adjust_balance": ("account_id", "adjustment_id", "adj"),
+    "reverse_adjustment": ("account_id", "rollback_id", "rbk"),
+    "post_journal": ("adjustment_id", "journal_id", "jnl"),
+    "book_shipment": ("order_id", "shipment_id", "bkg"),
+    "cancel_shipment": ("order_id", "cancellation_id", "cxl"),
+    "charge_payment": ("order_id", "payment_id", "pay"),
+}
+
+
+def effective_input(body: Column) -> Column:
+    """A request's own input: what the envelope of a compensation wraps, or the body itself."""
+    return F.coalesce(F.get_json_object(body, "$.forward.input"), body)
+
+
+def participant_result(operation: Column, body: Column) -> Column:
+    """What a participant answers to a request (JSON texts): its result, or null if the input lacks what it needs.
+
+    Operations are looked up in a registry: reference ids from REFERENCES, and the
+    functions that echo a reservation or a decision, forward and back.
+    """
+    registry = {name: (source, result, f"{prefix}-") for name, (source, result, prefix) in REFERENCES.items()}
+    registry |= {"reserve": ("reservation", "reserved", ""), "confirm": ("reserved", "confirmed", ""), "unconfirm": ("reserved", "unconfirmed", ""), "undo_decide": ("ref", "undone_ref", "")}
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for name, row in registry.items() for x in (name, row[i])]), operation)
+    own = F.from_json(effective_input(body), "map<string,string>")
+    value = F.element_at(own, of(0))
+    simple = F.when(value.isNotNull(), F.to_json(F.create_map(of(1), F.concat(of(2), value))))
+    released = F.when(own["reservation"].isNotNull(), F.to_json(F.struct(F.lit(1).alias("compensated"), own["reservation"].alias("reservation"))))
+    status = F.when(own["decision"].isin("declined", "overlong"), own["decision"]).otherwise("approved")
+    long = F.when(own["decision"] == "overlong", F.repeat(F.lit("z"), 200))
+    decided = F.when(own["ref"].isNotNull() & own["decision"].isNotNull(), F.to_json(F.struct(status.alias("status"), own["ref"].alias("ref"), long.alias("long_reason"))))
+    return F.when(operation == "release", released).when(operation == "decide", decided).otherwise(simple)
+
+
+_NAMES = [*REFERENCES, "reserve", "release", "confirm", "unconfirm", "decide", "undo_decide"]
+_ASKED_SQL = f"""asked AS (SELECT operation_id, part_id, {_NAMES!r}[CAST(part_id % {len(_NAMES)} AS INT) + 1] AS name, CASE WHEN part_id % 29 = 0 THEN NULL ELSE CAST(part_id AS VARCHAR) END AS v FROM {{operation}})"""
+_ANSWERS_SQL = """CASE WHEN v IS NULL THEN NULL
+  WHEN name = 'reserve' THEN '{{"reserved":"' || v || '"}}' WHEN name = 'release' THEN '{{"compensated":1,"reservation":"' || v || '"}}'
+  WHEN name = 'confirm' THEN '{{"confirmed":"' || v || '"}}' WHEN name = 'unconfirm' THEN '{{"unconfirmed":"' || v || '"}}' WHEN name = 'undo_decide' THEN '{{"undone_ref":"' || v || '"}}'
+  WHEN name = 'decide' THEN CASE part_id % 3 WHEN 0 THEN '{{"status":"declined","ref":"' || v || '"}}' WHEN 1 THEN '{{"status":"overlong","ref":"' || v || '","long_reason":"' || repeat('z', 200) || '"}}' ELSE '{{"status":"approved","ref":"' || v || '"}}' END
+  WHEN name = 'authorize' THEN '{{"auth_id":"auth-' || v || '"}}' WHEN name = 'void_authorization' THEN '{{"void_id":"void-' || v || '"}}' WHEN name = 'capture' THEN '{{"capture_id":"cap-' || v || '"}}'
+  WHEN name = 'refund_capture' OR name = 'refund' THEN '{{"refund_id":"rfnd-' || v || '"}}' WHEN name = 'record_ledger' THEN '{{"ledger_entry_id":"led-' || v || '"}}' WHEN name = 'notify_customer' THEN '{{"notification_id":"ntf-' || v || '"}}'
+  WHEN name = 'reserve_inventory' THEN '{{"reservation_id":"rsv-' || v || '"}}' WHEN name = 'release_inventory' THEN '{{"released_reservation_id":"rel-' || v || '"}}' WHEN name = 'commit_shipment' THEN '{{"shipment_id":"shp-' || v || '"}}'
+  WHEN name = 'adjust_balance' THEN '{{"adjustment_id":"adj-' || v || '"}}' WHEN name = 'reverse_adjustment' THEN '{{"rollback_id":"rbk-' || v || '"}}' WHEN name = 'post_journal' THEN '{{"journal_id":"jnl-' || v || '"}}'
+  WHEN name = 'book_shipment' THEN '{{"shipment_id":"bkg-' || v || '"}}' WHEN name = 'cancel_shipment' THEN '{{"cancellation_id":"cxl-' || v || '"}}' WHEN name = 'charge_payment' THEN '{{"payment_id":"pay-' || v || '"}}' END"""
+
+
+@query("participant_results", f"WITH {_ASKED_SQL} SELECT operation_id, name, {_ANSWERS_SQL} AS result FROM asked")
+def participant_results(fx: Fixtures) -> DataFrame:
+    """Each operation asked of a participant, by its forward body or, for every other one, wrapped as compensations are."""
+    names = F.array(*[F.lit(n) for n in _NAMES])
+    value = F.when(F.col("part_id") % 29 != 0, F.col("part_id").cast("string"))
+    sources = sorted({source for source, _, _ in REFERENCES.values()} | {"reservation", "reserved", "ref"})
+    decision = F.element_at(F.array(F.lit("declined"), F.lit("overlong"), F.lit("yes")), (F.col("part_id") % 3 + 1).cast("int"))
+    own = F.struct(*[value.alias(s) for s in sources], decision.alias("decision"))
+    body = F.when(F.col("part_id") % 2 == 0, F.to_json(F.struct(F.struct(own.alias("input")).alias("forward")))).otherwise(F.to_json(own))
+    name = F.element_at(names, (F.col("part_id") % len(_NAMES) + 1).cast("int"))
+    return fx.operation.select("operation_id", name.alias("name"), participant_result(name, body).alias("result"))
+
+
 @query("op_decide", "SELECT operation_id, CASE WHEN part_id % 7 = 0 THEN 'declined' ELSE 'approved' END AS decision, part_id % 7 = 0 AS final FROM {operation}")
 def op_decide(fx: Fixtures) -> DataFrame:
     no = F.col("part_id") % 7 == 0

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from datetime import datetime, timedelta, timezone, tzinfo
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import query
@@ -30,10 +34,28 @@ def _iso_sql(us: str) -> str:
     return f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
+def assert_utc(spark: SparkSession) -> None:
+    """Times are rendered with a Z, so a session whose clock is not UTC is refused."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    offset = datetime.fromtimestamp(NOW_US // SECOND, timezone.utc if zone in ("UTC", "Z", "GMT") else _zone(zone)).utcoffset()
+    if offset:
+        raise ValueError(f"the session's clock is {offset} from UTC: set spark.sql.session.timeZone to UTC")
+
+
+def _zone(name: str) -> tzinfo:
+    """A zone by its name or as +hh:mm."""
+    fixed = re.fullmatch(r"(?:UTC|GMT)?([+-])(\d\d?):?(\d\d)?", name)
+    if fixed:
+        minutes = int(fixed[2]) * 60 + int(fixed[3] or 0)
+        return timezone(timedelta(minutes=-minutes if fixed[1] == "-" else minutes))
+    return ZoneInfo(name)
+
+
 def search(fx: Fixtures, script: str, since_us: int, until_us: int, state: str | int | None = None, version: str | None = None) -> DataFrame:
     """Workflows of a script in an inclusive range of creation times, newest first; both bounds are mandatory."""
     if not script or since_us is None or until_us is None:
         raise ValueError("a search needs a script and both bounds")
+    assert_utc(fx.spark)
     keep = (F.col("script_name") == script) & F.col("created_us").between(since_us, until_us)
     if state is not None:
         code = int(state) if str(state).isdigit() else {v: k for k, v in STATES.items()}.get(state)
@@ -312,10 +334,57 @@ def inspect_nested(fx: Fixtures) -> DataFrame:
     return df.select("workflow_id", "state", F.coalesce(text, F.lit("")).alias("operations"), F.coalesce(F.array_join(F.transform("kids", lambda x: x["child_id"].cast("string")), ","), F.lit("")).alias("children"))
 
 
-@query("inspect_document")
+def inspect(fx: Fixtures, max_depth: int) -> DataFrame:
+    """(workflow_id, document): each root as a nested document of itself and what it called, as JSON text.
+
+    A node has its operations, calls, checkpoints and events in order, and its
+    children's documents in the order of the calls.  Below max_depth a child is a
+    truncated stub, and one that is its own ancestor a stub that says so.  Documents
+    are put together from the deepest level up, one join a level.
+    """
+    item = lambda template, *columns: F.format_string(template, *columns)
+    listed = lambda rows, name, place, text: rows.groupBy("workflow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, text.alias("text")))), lambda x: x["text"]), ",").alias(name))
+    parts = {
+        "operations": listed(fx.operation, "operations", ["operation_seq"], item('{"seq":%d,"name":"%s","status":%d}', "operation_seq", "operation_name", "status")),
+        "calls": listed(fx.call, "calls", ["operation_seq", "child_id"], item('{"seq":%d,"child":%d,"status":%d}', "operation_seq", "child_id", "child_status")),
+        "checkpoints": listed(fx.checkpoint, "checkpoints", ["seq"], item('{"seq":%d,"state":%d}', "seq", "reversal_state")),
+        "events": listed(fx.event, "events", ["event_us", "event_id"], item('{"at":%d,"kind":"%s"}', "event_us", "kind")),
+    }
+    own = fx.workflow.select("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"))
+    for rows in parts.values():
+        own = own.join(rows, "workflow_id", "left")
+    head = item('{"workflow_id":%d,"script_name":"%s","state_name":"%s"', "workflow_id", "script_name", "state_name")
+    own = own.select("workflow_id", F.concat(head, *[F.concat(F.lit(f',"{n}":['), F.coalesce(n, F.lit("")), F.lit("]")) for n in parts]).alias("own"))
+    own = written(own, "documents")
+    nodes = written(descend(fx, max_depth).select("root", "workflow_id", "depth", "path", "cycle"), "document-nodes")
+    calls = fx.call.select(F.col("workflow_id").alias("caller"), "operation_seq", "child_id")
+    below = None  # (path of the caller, place of the call, document) of the level below
+    for depth in range(max_depth, -1, -1):
+        level = nodes.where((F.col("depth") == depth) & ~F.col("cycle")).select("root", "workflow_id", "path")
+        called = level.join(calls, F.col("workflow_id") == F.col("caller")).select("path", "operation_seq", "child_id", F.array_contains("path", F.col("child_id")).alias("met"))
+        stub = F.when(F.col("met"), item('{"child_workflow_id":%d,"cycle_detected":true}', "child_id"))
+        if below is None:
+            texts = called.withColumn("text", F.coalesce(stub, item('{"child_workflow_id":%d,"truncated":true}', "child_id")))
+        else:
+            texts = called.join(below, [called.path.eqNullSafe(below.up), called.child_id == below.id], "left").withColumn("text", F.coalesce(stub, F.col("document")))
+        children = texts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("operation_seq", "child_id", "text"))), lambda x: x["text"]), ",").alias("children"))
+        done = level.join(own, "workflow_id").join(children, "path", "left")
+        document = F.concat("own", F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        below = written(done.select(F.slice("path", 1, F.size("path") - 1).alias("up"), F.col("workflow_id").alias("id"), document.alias("document")), "document-level")
+    return below.select(F.col("id").alias("workflow_id"), "document")
+
+
+_DOCUMENT_SQL = f"""WITH ops AS (SELECT workflow_id, string_agg('{{{{"seq":' || operation_seq || ',"name":"' || operation_name || '","status":' || status || '}}}}', ',' ORDER BY operation_seq) AS t FROM {{operation}} GROUP BY workflow_id),
+kids AS (SELECT workflow_id, string_agg('{{{{"seq":' || operation_seq || ',"child":' || child_id || ',"status":' || child_status || '}}}}', ',' ORDER BY operation_seq, child_id) AS t, string_agg('{{{{"child_workflow_id":' || child_id || ',"truncated":true}}}}', ',' ORDER BY operation_seq, child_id) AS stubs FROM {{call}} GROUP BY workflow_id),
+cps AS (SELECT workflow_id, string_agg('{{{{"seq":' || seq || ',"state":' || reversal_state || '}}}}', ',' ORDER BY seq) AS t FROM {{checkpoint}} GROUP BY workflow_id),
+evs AS (SELECT workflow_id, string_agg('{{{{"at":' || event_us || ',"kind":"' || kind || '"}}}}', ',' ORDER BY event_us, event_id) AS t FROM {{event}} GROUP BY workflow_id),
+own AS (SELECT w.workflow_id, w.parent_id, '{{{{"workflow_id":' || w.workflow_id || ',"script_name":"' || w.script_name || '","state_name":"' || {_STATE_SQL.format("w.state")} || '","operations":[' || coalesce(o.t, '') || '],"calls":[' || coalesce(k.t, '') || '],"checkpoints":[' || coalesce(c.t, '') || '],"events":[' || coalesce(e.t, '') || ']' AS head, coalesce(k.stubs, '') AS stubs
+  FROM {{workflow}} w LEFT JOIN ops o ON o.workflow_id = w.workflow_id LEFT JOIN kids k ON k.workflow_id = w.workflow_id LEFT JOIN cps c ON c.workflow_id = w.workflow_id LEFT JOIN evs e ON e.workflow_id = w.workflow_id),
+second AS (SELECT k.workflow_id AS caller, string_agg(o.head || ',"children":[' || o.stubs || ']}}}}', ',' ORDER BY k.operation_seq, k.child_id) AS t FROM {{call}} k JOIN own o ON o.workflow_id = k.child_id GROUP BY k.workflow_id)
+SELECT o.workflow_id, o.head || ',"children":[' || coalesce(s.t, '') || ']}}}}' AS document FROM own o LEFT JOIN second s ON s.caller = o.workflow_id WHERE o.parent_id IS NULL"""
+
+
+@query("inspect_document", _DOCUMENT_SQL)
 def inspect_document(fx: Fixtures) -> DataFrame:
-    """The nested document itself, as JSON text for an API to serve."""
-    ops = fx.operation.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.struct("operation_seq", "operation_name", "status", "result"))).alias("operations"))
-    cps = fx.checkpoint.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.struct("seq", "operation_name", "reversal_state"))).alias("checkpoints"))
-    df = fx.workflow.join(ops, "workflow_id", "left").join(cps, "workflow_id", "left")
-    return df.select("workflow_id", F.to_json(F.struct("workflow_id", "script_name", state_name(F.col("state")).alias("state_name"), iso(F.col("created_us")).alias("created_at"), "operations", "checkpoints")).alias("document"))
+    """Every root's document, one level of calls deep."""
+    return inspect(fx, 1)

@@ -30,13 +30,15 @@ _HEADS_SQL = """heads AS (
 
 @query(
     "ledger_start",
-    "SELECT m.item_key, CASE WHEN i.item_key IS NULL THEN 'granted' ELSE 'exists' END AS outcome FROM (SELECT DISTINCT item_key FROM {ledger_command}) m LEFT JOIN {work_item} i ON i.item_key = m.item_key",
+    "WITH asked AS (SELECT item_key, event_us, 0 AS copy FROM {ledger_command} UNION ALL SELECT item_key, event_us, 1 FROM {ledger_command} WHERE item_key % 2 = 0) SELECT m.item_key, m.event_us, m.copy, CASE WHEN i.item_key IS NULL AND row_number() OVER (PARTITION BY m.item_key ORDER BY m.event_us, m.copy) = 1 THEN 'granted' ELSE 'exists' END AS outcome FROM asked m LEFT JOIN {work_item} i ON i.item_key = m.item_key",
 )
 def start(fx: Fixtures) -> DataFrame:
-    """Granted for keys without an item, once per key; exists for the others."""
-    keys = fx.ledger_command.select("item_key").distinct()
-    items = fx.work_item.select("item_key")
-    return keys.join(items, "item_key", "left_anti").select("item_key", F.lit("granted").alias("outcome")).unionByName(keys.join(items, "item_key", "left_semi").select("item_key", F.lit("exists").alias("outcome")))
+    """Granted for keys without an item, to the first that asks in a batch; exists for the others, the losers of a race among them."""
+    asked = fx.ledger_command.select("item_key", "event_us", F.lit(0).alias("copy"))
+    asked = asked.unionByName(asked.where("item_key % 2 = 0").withColumn("copy", F.lit(1)))  # every other key is asked for twice
+    first = F.row_number().over(Window.partitionBy("item_key").orderBy("event_us", "copy")) == 1
+    rows = asked.withColumn("first", first).join(fx.work_item.select("item_key", F.lit(True).alias("held")), "item_key", "left")
+    return rows.select("item_key", "event_us", "copy", F.when(F.col("held").isNull() & F.col("first"), "granted").otherwise("exists").alias("outcome"))
 
 
 @query(

@@ -26,13 +26,15 @@ def point_plan_args(fx: Fixtures) -> DataFrame:
     return rows.join(fx.plan, "workflow_id", "left").select("workflow_id", "plan_version", "content_hash", "plan_length", F.decode("blob", "UTF-8").alias("args"))
 
 
-@query("children_ordered", "SELECT workflow_id, 'call' AS kind, operation_seq AS seq, CAST(child_id AS VARCHAR) AS ref FROM {call} UNION ALL SELECT workflow_id, 'operation', operation_seq, operation_name FROM {operation} UNION ALL SELECT workflow_id, 'checkpoint', seq, operation_name FROM {checkpoint}")
+@query("children_ordered", "SELECT workflow_id, 'call' AS kind, operation_seq AS seq, CAST(child_id AS VARCHAR) AS ref FROM {call} UNION ALL SELECT workflow_id, 'operation', operation_seq, operation_name FROM {operation} UNION ALL SELECT workflow_id, 'checkpoint', seq, operation_name FROM {checkpoint} UNION ALL SELECT workflow_id, 'event', CAST(row_number() OVER (PARTITION BY workflow_id ORDER BY event_us, event_id) AS INT), kind FROM {event}")
 def children_ordered(fx: Fixtures) -> DataFrame:
-    """Calls, operations and checkpoints of every workflow, each in its order."""
+    """Calls, operations, checkpoints and events of every workflow, each in its order."""
     calls = fx.call.select("workflow_id", F.lit("call").alias("kind"), F.col("operation_seq").alias("seq"), F.col("child_id").cast("string").alias("ref"))
     ops = fx.operation.select("workflow_id", F.lit("operation").alias("kind"), F.col("operation_seq").alias("seq"), F.col("operation_name").alias("ref"))
     cps = fx.checkpoint.select("workflow_id", F.lit("checkpoint").alias("kind"), "seq", F.col("operation_name").alias("ref"))
-    return calls.unionByName(ops).unionByName(cps).orderBy("workflow_id", "kind", "seq")
+    place = F.row_number().over(Window.partitionBy("workflow_id").orderBy("event_us", "event_id"))
+    events = fx.event.select("workflow_id", F.lit("event").alias("kind"), place.alias("seq"), F.col("kind").alias("ref"))
+    return calls.unionByName(ops).unionByName(cps).unionByName(events).orderBy("workflow_id", "kind", "seq")
 
 
 @query("skeleton", "SELECT workflow_id, script_name, state, parent_id FROM {workflow}")
@@ -144,19 +146,39 @@ def child_notify(fx: Fixtures) -> DataFrame:
     return rows.select("child_id", "workflow_id", F.when(F.col("s") == 4, 2).otherwise(3).alias("child_status"), (F.col("last_inspected_us").isNull() | (F.col("at_us") > F.col("last_inspected_us"))).alias("applied"), F.least("next_attempt_us", "at_us").alias("next_attempt_us"))
 
 
-_OFFERED = "(SELECT workflow_id + CASE WHEN workflow_id % 2 = 0 THEN 10000000 ELSE 0 END AS workflow_id, script_name, created_us FROM {workflow} UNION ALL SELECT workflow_id + 10000000, script_name, created_us + 1 FROM {workflow})"
+_OFFERED = "(SELECT workflow_id + CASE WHEN workflow_id % 2 = 0 THEN 10000000 ELSE 0 END AS workflow_id, CASE WHEN workflow_id % 17 = 3 THEN 'other' ELSE script_name END AS script_name, created_us, 'owner=' || (owner_id + CASE WHEN workflow_id % 7 = 5 THEN 1 ELSE 0 END) AS args FROM {workflow} UNION ALL SELECT workflow_id + 10000000, script_name, created_us + 1, 'owner=0' FROM {workflow})"
 
 
-@query("unique_create", f"SELECT n.workflow_id, n.created_us, CASE WHEN w.workflow_id IS NULL AND n.k = 1 THEN 'created' WHEN w.workflow_id IS NOT NULL AND w.script_name <> n.script_name THEN 'plan_conflict' ELSE 'exists' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY created_us) AS k FROM {_OFFERED}) n LEFT JOIN {{workflow}} w ON w.workflow_id = n.workflow_id")
+@query(
+    "unique_create",
+    f"""SELECT n.workflow_id, n.created_us, CASE WHEN w.workflow_id IS NULL THEN CASE WHEN n.k = 1 THEN 'created' ELSE 'exists' END WHEN p.workflow_id IS NULL OR w.script_name <> n.script_name THEN 'plan_conflict'
+  WHEN w.owner_id % 13 <> 0 AND 'owner=' || w.owner_id = n.args THEN 'exists' ELSE 'workflow_conflict' END AS outcome
+FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY created_us) AS k FROM {_OFFERED}) n LEFT JOIN {{workflow}} w ON w.workflow_id = n.workflow_id LEFT JOIN {{plan}} p ON p.workflow_id = n.workflow_id""",
+)
 def unique_create(fx: Fixtures) -> DataFrame:
-    """Creation of what is not there yet; of several offers of one id in a batch the first wins, the others are told so."""
-    w = fx.workflow.select("workflow_id", "script_name", "created_us")
+    """Creation of what is not there yet; of several offers of one id in a batch the first wins, the others are told so.
+
+    What is there must have a pinned plan of the same script (else plan_conflict),
+    and the same arguments, byte for byte (else workflow_conflict).
+    """
+    w = fx.workflow.select("workflow_id", "script_name", "created_us", "owner_id")
     far = F.when(F.col("workflow_id") % 2 == 0, 10_000_000).otherwise(0)
-    offered = w.withColumn("workflow_id", F.col("workflow_id") + far).unionByName(w.select((F.col("workflow_id") + 10_000_000).alias("workflow_id"), "script_name", (F.col("created_us") + 1).alias("created_us")))
+    script = F.when(F.col("workflow_id") % 17 == 3, "other").otherwise(F.col("script_name"))
+    args = F.concat(F.lit("owner="), F.col("owner_id") + F.when(F.col("workflow_id") % 7 == 5, 1).otherwise(0))
+    offered = w.select((F.col("workflow_id") + far).alias("workflow_id"), script.alias("script_name"), "created_us", args.alias("args"))
+    offered = offered.unionByName(w.select((F.col("workflow_id") + 10_000_000).alias("workflow_id"), "script_name", (F.col("created_us") + 1).alias("created_us"), F.lit("owner=0").alias("args")))
     first = F.row_number().over(Window.partitionBy("workflow_id").orderBy("created_us")) == 1
-    held = w.select("workflow_id", F.col("script_name").alias("held"))
-    rows = offered.withColumn("first", first).join(held, "workflow_id", "left")
-    outcome = F.when(F.col("held").isNull() & F.col("first"), "created").when(F.col("held").isNotNull() & (F.col("held") != F.col("script_name")), "plan_conflict").otherwise("exists")
+    held_args = F.when(F.col("owner_id") % 13 != 0, F.encode(F.concat(F.lit("owner="), "owner_id"), "UTF-8"))  # some have none
+    held = w.select("workflow_id", F.col("script_name").alias("held"), held_args.alias("held_args"))
+    pins = fx.plan.select("workflow_id", F.lit(True).alias("pinned"))
+    rows = offered.withColumn("first", first).join(held, "workflow_id", "left").join(pins, "workflow_id", "left")
+    outcome = (
+        F.when(F.col("held").isNull() & F.col("first"), "created")
+        .when(F.col("held").isNull(), "exists")
+        .when(F.col("pinned").isNull() | ~F.col("held").eqNullSafe(F.col("script_name")), "plan_conflict")
+        .when(F.col("held_args").isNull() | ~F.col("held_args").eqNullSafe(F.encode("args", "UTF-8")), "workflow_conflict")
+        .otherwise("exists")
+    )
     return rows.select("workflow_id", "created_us", outcome.alias("outcome"))
 
 

@@ -48,6 +48,8 @@ def expression(e: tuple, scope: Scope) -> Column:
     kind = e[0]
     if kind == "const":
         return F.lit(e[1])
+    if kind == "optional":
+        return expression(e[1], scope)
     if kind == "arg":
         return project(scope.args[e[1][0]], e[1][1:])
     if kind == "result":
@@ -62,9 +64,13 @@ def expression(e: tuple, scope: Scope) -> Column:
 
 
 def present(e: tuple, scope: Scope) -> Column:
-    """Whether what an expression refers to is there; a value that is missing is a fault, not null."""
+    """Whether what an expression refers to is there.
+
+    A value that is missing is a fault; one that may be null by its type is marked
+    ("optional", expression), and null is a value of it.
+    """
     kind = e[0]
-    if kind == "const":
+    if kind in ("const", "optional"):
         return F.lit(True)
     if kind == "object":
         parts = [present(v, scope) for v in e[1].values()]
@@ -106,7 +112,10 @@ def compile_graph(graph: dict[str, dict], entry: str, scope: Scope, settled: dic
         if kind == "let":
             return F.when(present(node["value"], own), emit(node["next"], own.bind(node["name"], expression(node["value"], own)), at)).otherwise(outcome("fault", at))
         if kind in ("map", "filter", "fold"):
-            return emit(node["next"], own.bind(node["name"], loop(node, own)), at)
+            fits = present(node["over"], own)
+            if kind == "filter":  # a predicate that is neither true nor false is a fault
+                fits = fits & ~F.coalesce(F.exists(expression(node["over"], own), lambda x: expression(node["body"], own.bind(node["each"], x)).isNull()), F.lit(False))
+            return F.when(fits, emit(node["next"], own.bind(node["name"], loop(node, own)), at)).otherwise(outcome("fault", at))
         if kind == "if":
             on = expression(node["on"], own)
             return F.when(on.isNull(), outcome("fault", at)).when(on, emit(node["then"], own, at)).otherwise(emit(node["else"], own, at))
@@ -117,9 +126,10 @@ def compile_graph(graph: dict[str, dict], entry: str, scope: Scope, settled: dic
                 arms = arms.when(on == F.lit(value), emit(to, own, at))
             return arms.otherwise(emit(node["default"], own, at))
         if kind == "merge":
-            return emit(node["next"], own.bind(node["name"], expression(node["from"][came_from], own)), at)
+            taken = node["from"][came_from]
+            return F.when(present(taken, own), emit(node["next"], own.bind(node["name"], expression(taken, own)), at)).otherwise(outcome("fault", at))
         if kind == "return":
-            return outcome("completed", at, expression(node["value"], own))
+            return F.when(present(node["value"], own), outcome("completed", at, expression(node["value"], own))).otherwise(outcome("fault", at))
         if kind == "fail":
             reason = expression(node["reason"], own).cast("string")
             fits = reason.isNotNull() & (F.octet_length(reason) <= REASON_BYTES) & (F.length(reason) > 0)
@@ -199,6 +209,8 @@ _graph_query("let", {"n0": {"kind": "let", "name": "x", "value": ("arg", ["part"
 _graph_query("if", {"n0": {"kind": "if", "on": ("arg", ["rich"]), "then": "n1", "else": "n2"}, "n1": {"kind": "return", "value": ("const", "rich")}, "n2": {"kind": "return", "value": ("const", "poor")}}, "SELECT workflow_id, CASE WHEN rich IS NULL THEN 'fault' ELSE 'completed' END AS kind, CASE WHEN rich THEN 'rich' WHEN NOT rich THEN 'poor' END AS value FROM inst")
 _graph_query("case", {"n0": {"kind": "case", "on": ("arg", ["priority"]), "arms": [("1-URGENT", "n1"), ("2-HIGH", "n2")], "default": "n3"}, "n1": {"kind": "return", "value": ("const", "1")}, "n2": {"kind": "return", "value": ("const", "2")}, "n3": {"kind": "return", "value": ("const", "other")}}, "SELECT workflow_id, 'completed' AS kind, CASE priority WHEN '1-URGENT' THEN '1' WHEN '2-HIGH' THEN '2' ELSE 'other' END AS value FROM inst")
 _graph_query("merge", {"n0": {"kind": "if", "on": ("arg", ["rich"]), "then": "n1", "else": "n2"}, "n1": {"kind": "let", "name": "a", "value": ("const", "A"), "next": "n3"}, "n2": {"kind": "let", "name": "b", "value": ("arg", ["priority"]), "next": "n3"}, "n3": {"kind": "merge", "name": "m", "from": {"n1": ("local", "a", []), "n2": ("local", "b", [])}, "next": "n4"}, "n4": {"kind": "return", "value": ("local", "m", [])}}, "SELECT workflow_id, CASE WHEN rich IS NULL THEN 'fault' ELSE 'completed' END AS kind, CASE WHEN rich THEN 'A' WHEN NOT rich THEN priority END AS value FROM inst")
+_graph_query("unsettled", {"n0": {"kind": "return", "value": ("object", {"part": ("arg", ["part"]), "id": ("arg", ["id"])})}}, "SELECT workflow_id, CASE WHEN r1 IS NULL THEN 'fault' ELSE 'completed' END AS kind, CASE WHEN r1 IS NOT NULL THEN '{{' || workflow_id || ', ' || r1 || '}}' END AS value FROM inst")
+_graph_query("optional", {"n0": {"kind": "let", "name": "x", "value": ("optional", ("arg", ["part"])), "next": "n1"}, "n1": {"kind": "return", "value": ("optional", ("local", "x", []))}}, "SELECT workflow_id, 'completed' AS kind, CAST(r1 AS VARCHAR) AS value FROM inst")
 _graph_query("fail", {"n0": {"kind": "fail", "reason": ("arg", ["reason"])}}, "SELECT workflow_id, 'fail' AS kind, coalesce(terminal_reason, 'invalid_fail_reason') AS value FROM inst")
 
 
@@ -229,6 +241,20 @@ def loop_filter(fx: Fixtures) -> DataFrame:
     return rows.select("workflow_id", F.array_join(F.transform("v", lambda x: x["operation_seq"].cast("string")), ",").alias("value"))
 
 
+@query("filter_fault", "SELECT w.workflow_id, CASE WHEN count(*) FILTER (WHERE o.workflow_id IS NOT NULL AND o.result IS NULL) > 0 THEN 'fault' ELSE 'completed' END AS kind, CASE WHEN count(*) FILTER (WHERE o.workflow_id IS NOT NULL AND o.result IS NULL) = 0 THEN CAST('[' || coalesce(string_agg(CAST(o.part_id AS VARCHAR), ', ' ORDER BY o.operation_seq) FILTER (WHERE o.result % 2 = 0), '') || ']' AS VARCHAR) END AS value FROM {workflow} w LEFT JOIN {operation} o ON o.workflow_id = w.workflow_id GROUP BY w.workflow_id")
+def filter_fault(fx: Fixtures) -> DataFrame:
+    """The parts of a workflow with an even result; a result that is not there yet leaves the predicate open, which is a fault."""
+    items = fx.operation.groupBy("workflow_id").agg(F.array_sort(F.collect_list(F.struct("operation_seq", "part_id", (F.col("result") % 2 == 0).alias("even")))).alias("items"))
+    empty = F.expr("CAST(array() AS array<struct<operation_seq: int, part_id: bigint, even: boolean>>)")
+    graph = {
+        "n0": {"kind": "filter", "name": "kept", "over": ("arg", ["items"]), "each": "c", "body": ("local", "c", ["even"]), "next": "n1"},
+        "n1": {"kind": "map", "name": "parts", "over": ("local", "kept", []), "each": "c", "body": ("local", "c", ["part_id"]), "next": "n2"},
+        "n2": {"kind": "return", "value": ("local", "parts", [])},
+    }
+    rows = fx.workflow.select("workflow_id").join(items, "workflow_id", "left").withColumn("items", F.coalesce("items", empty))
+    return rows.select("workflow_id", compile_graph(graph, "n0", Scope({"items": F.col("items")}), {}).alias("o")).select("workflow_id", "o.kind", "o.value")
+
+
 @query("loop_fold", "SELECT w.workflow_id, arg_max(o.part_id, o.operation_seq) AS value FROM {workflow} w LEFT JOIN {operation} o ON o.workflow_id = w.workflow_id GROUP BY w.workflow_id")
 def loop_fold(fx: Fixtures) -> DataFrame:
     """An accumulator from null to the last element; nothing to fold leaves the initial value."""
