@@ -61,26 +61,22 @@ def seeds(compared: int, masks: tuple[str, ...] = MASKS, agree: float = AGREE) -
     return [*(m for m in masks if len(m) <= compared), *(extra or ("1" * max(1, ceil((compared - differ) / (differ + 1))),))]
 
 
-def _seeded(tokens: Column, masks: list[str], fits: dict[str, Column] | None = None) -> Column:
-    """array<array<long>>: for each mask the hashes of all its windows, by position; none where fits is false."""
-    none = F.expr("CAST(array() AS array<bigint>)")
-
-    def windows(k: int, mask: str) -> Column:
-        own = lambda i: F.xxhash64(F.lit(k), *[F.get(tokens, i + j) for j, bit in enumerate(mask) if bit == "1"])
-        here = F.size(tokens) >= len(mask)
-        return F.when(here & fits[mask] if fits else here, F.transform(F.sequence(F.lit(0), F.size(tokens) - len(mask)), own)).otherwise(none)
-
-    return F.array(*[windows(k, mask) for k, mask in enumerate(masks)])
-
-
 def _windows(rows: DataFrame, masks: list[str], fits: dict[str, Column] | None = None) -> DataFrame:
-    """rows with a column tokens, by window: the columns and hash, pos; hash is null where a row has no window.
+    """rows with a column tokens, by window: the columns and hash, pos; hash is null where a mask has no window.
 
-    The outer forms keep Catalyst from adding a filter on the arrays' sizes, which
-    it would push below the tokens and so compute these anew for every window.
+    Positions are generated first and hashed after, so that hashing runs in generated
+    code, which a lambda over the array would not.  The outer form keeps Catalyst
+    from adding a filter on the array's size, which it would push below the tokens
+    and so compute these anew.  Masks apply to rows where ``fits`` says so.
     """
-    each = rows.withColumn("_by_mask", _seeded(F.col("tokens"), masks, fits)).select(*rows.columns, F.explode_outer("_by_mask").alias("_own"))
-    return each.select(*rows.columns, F.posexplode_outer("_own").alias("pos", "hash"))
+    size = F.size("tokens")
+    each = rows.select(*rows.columns, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("pos"))
+
+    def own(k: int, mask: str) -> Column:
+        here = F.col("pos") + len(mask) <= size
+        return F.when(here & fits[mask] if fits else here, F.xxhash64(F.lit(k), *[F.get("tokens", F.col("pos") + j) for j, bit in enumerate(mask) if bit == "1"]))
+
+    return each.select(*rows.columns, "pos", F.explode(F.array(*[own(k, mask) for k, mask in enumerate(masks)])).alias("hash"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, agree: float = AGREE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
