@@ -291,8 +291,10 @@ def links(keyed: DataFrame, tables: DataFrame, max_bits: int = MAX_BITS, chunk:
     large = sizes.where("n > 2").select("key", "n")
     many = keyed.join(maybe_broadcast(large, large.count(), BROADCAST_KEYS), "key")
     many = many.withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
-    dealt = many.select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))).alias("at"))
-    groups = dealt.groupBy("key", "at").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1").select("nodes").distinct()
+    # A group is a key, or a pair of its chunks: one long either way, so that little is shuffled for each member.
+    chunks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
+    dealt = many.select("node", F.explode(F.when(F.col("chunks") > 1, chunks).otherwise(F.array("key"))).alias("at"))
+    groups = dealt.groupBy("at").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where("size(nodes) > 1").select("nodes").distinct()
     members = written(groups.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node")), "simhash-groups").join(tables, "node")
     members = members.groupBy("group").agg(F.collect_list(F.struct("node", "fp", "pivoted")).alias("m"))
     return pairs.unionByName(members.select(F.inline(_forest(max_bits)("m.node", "m.fp", "m.pivoted"))))
