@@ -122,7 +122,8 @@ def mine(rows: DataFrame, min_count: int = MIN_COUNT, min_lift: float = MIN_LIFT
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_count - 0.5) / bad.count()), minConfidence=1.0).fit(bad)
     frequent = model.freqItemsets.select(F.array_sort("items").alias("items"))
     named = written(_anchored(frequent, items.select("item", "n")), "url-combinations")
-    probes = baskets.select("bad", "items", F.explode("items").alias("anchor"))
+    # Baskets are few bytes, but each meets many combinations: adaptive execution would leave them in one task.
+    probes = baskets.repartition(spark.sparkContext.defaultParallelism).select("bad", "items", F.explode("items").alias("anchor"))
     met = probes.join(maybe_broadcast(named.select("anchor", F.col("items").alias("needed")), named.count()), "anchor").where("size(array_except(needed, items)) = 0")
     counted = met.groupBy(F.col("needed").alias("items"), "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
     judged = counted.withColumn("confidence", F.col("n_bad") / F.col("n")).withColumn("lift", F.col("confidence") / F.lit(share))
