@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.sources.scratch import scratch, shared_dir, written
+
+__all__ = ["scratch", "shared_dir", "written"]
+
 #: A word, as the contracts have it: a run of anything but space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,41 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none and runs on one machine, as in tests, a temporary
-    folder is set once, and deleted when the driver ends; on a cluster this is an
-    error, as executors don't see one another's local folders.
-    """
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if held:
-        return held.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tidemill-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
-
-    It cuts the lineage: a lost executor costs tasks of the current job only, as
-    the files survive it.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``rows``, a measured or proven count of ``df``, is within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
