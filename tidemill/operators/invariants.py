@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.catalog import register
@@ -41,15 +41,15 @@ for _name, (_view, _sound) in CHECKS.items():
 
 
 def _operation_result(fx: Fixtures) -> DataFrame:
-    return broken(fx.operation, "(status = 1) = (result IS NULL)", "operation_id")
+    return broken(fx.dirty_operation, "(status = 1) = (result IS NULL)", "operation_id")
 
 
 def _unique_operation(fx: Fixtures) -> DataFrame:
-    return fx.operation.groupBy("operation_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("operation_id", "n")
+    return fx.dirty_operation.groupBy("operation_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("operation_id", "n")
 
 
 def _unique_child(fx: Fixtures) -> DataFrame:
-    return fx.call.groupBy("child_id").agg(F.countDistinct("workflow_id").alias("n")).where("n <> 1").select("child_id", "n")
+    return fx.dirty_call.groupBy("child_id").agg(F.countDistinct("workflow_id").alias("n")).where("n <> 1").select("child_id", "n")
 
 
 def _orphans(fx: Fixtures) -> DataFrame:
@@ -60,25 +60,26 @@ def _orphans(fx: Fixtures) -> DataFrame:
 
 def _event_order(fx: Fixtures) -> DataFrame:
     """Log rows of a work item that are not strictly later than the row before."""
-    from pyspark.sql import Window
-
     before = F.lag("event_us").over(Window.partitionBy("item_key").orderBy("seq"))
-    return fx.ledger_history.withColumn("before_us", before).where("event_us <= before_us").select("item_key", "seq")
+    return fx.dirty_history.withColumn("before_us", before).where("event_us <= before_us").select("item_key", "seq")
+
+
+def _history_pairs(fx: Fixtures) -> DataFrame:
+    """Log rows whose kind of event, status and lease do not go together."""
+    return broken(fx.dirty_history, "(event_type IN (10, 11) AND status = 1 AND lease_expires_us IS NOT NULL) OR (event_type = 20 AND status = 2) OR (event_type = 40 AND status = 3)", "item_key")
 
 
 def _contiguous(fx: Fixtures) -> DataFrame:
     """Operations whose predecessor is missing or has not settled."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("workflow_id").orderBy("operation_seq")
     rows = fx.operation.withColumn("before_status", F.lag("status").over(w)).withColumn("before_seq", F.lag("operation_seq").over(w))
     return rows.where("operation_seq > 1 AND (before_seq IS NULL OR before_seq <> operation_seq - 1 OR before_status <> 2)").select("workflow_id", "operation_seq")
 
 
-register("inv_operation_result", _operation_result, "SELECT operation_id FROM {operation} WHERE NOT coalesce((status = 1) = (result IS NULL), false)")
-register("inv_unique_operation", _unique_operation, "SELECT operation_id, count(*) AS n FROM {operation} GROUP BY operation_id HAVING count(*) > 1")
-register("inv_unique_child", _unique_child, "SELECT child_id, count(DISTINCT workflow_id) AS n FROM {call} GROUP BY child_id HAVING count(DISTINCT workflow_id) <> 1")
+register("inv_operation_result", _operation_result, "SELECT operation_id FROM {dirty_operation} WHERE CASE status WHEN 1 THEN result IS NOT NULL ELSE result IS NULL OR status IS NULL END")
+register("inv_unique_operation", _unique_operation, "SELECT DISTINCT operation_id, n FROM (SELECT operation_id, count(*) OVER (PARTITION BY operation_id) AS n FROM {dirty_operation}) WHERE n >= 2")
+register("inv_unique_child", _unique_child, "SELECT child_id, len(list(DISTINCT workflow_id)) AS n FROM {dirty_call} GROUP BY child_id HAVING min(workflow_id) < max(workflow_id)")
 register("inv_event_owner", _orphans, "SELECT e.workflow_id, e.event_us FROM {event} e WHERE NOT EXISTS (SELECT 1 FROM {dirty_workflow} w WHERE w.workflow_id = e.workflow_id AND w.state BETWEEN 1 AND 7)")
-register("inv_event_order", _event_order, "SELECT item_key, seq FROM (SELECT *, lag(event_us) OVER (PARTITION BY item_key ORDER BY seq) AS before_us FROM {ledger_history}) WHERE event_us <= before_us")
+register("inv_event_order", _event_order, "SELECT h.item_key, h.seq FROM {dirty_history} h JOIN {dirty_history} b ON b.item_key = h.item_key AND b.seq = h.seq - 1 WHERE NOT h.event_us > b.event_us")
 register("inv_contiguous", _contiguous, "SELECT o.workflow_id, o.operation_seq FROM {operation} o LEFT JOIN {operation} b ON b.workflow_id = o.workflow_id AND b.operation_seq = o.operation_seq - 1 WHERE o.operation_seq > 1 AND (b.status IS NULL OR b.status <> 2)")
-register("inv_history_pairs", lambda fx: broken(fx.ledger_history.withColumn("event_type", F.when(F.col("item_key") % 23 == 0, 20).otherwise(F.col("event_type"))), "(event_type IN (10, 11) AND status = 1 AND lease_expires_us IS NOT NULL) OR (event_type = 20 AND status = 2) OR (event_type = 40 AND status = 3)", "item_key"), "SELECT item_key FROM (SELECT *, CASE WHEN item_key % 23 = 0 THEN 20 ELSE event_type END AS t FROM {ledger_history}) WHERE NOT ((t IN (10, 11) AND status = 1 AND lease_expires_us IS NOT NULL) OR (t = 20 AND status = 2) OR (t = 40 AND status = 3))")
+register("inv_history_pairs", _history_pairs, "SELECT item_key FROM {dirty_history} WHERE CASE event_type WHEN 10 THEN status <> 1 OR lease_expires_us IS NULL WHEN 11 THEN status <> 1 OR lease_expires_us IS NULL WHEN 20 THEN status <> 2 WHEN 40 THEN status <> 3 ELSE true END")

@@ -129,6 +129,17 @@ SELECT workflow_id, CAST(CASE WHEN workflow_id % 101 = 0 THEN 9 ELSE state END A
   CASE WHEN workflow_id % 113 = 0 THEN NULL ELSE return_json END AS return_json, parent_id,
   CASE WHEN workflow_id % 127 = 0 THEN NULL ELSE root_id END AS root_id, call_depth
 FROM {workflow}""",
+    "dirty_operation": """
+SELECT workflow_id, operation_seq, CAST(CASE WHEN operation_id % 31 = 0 THEN operation_id + 1 ELSE operation_id END AS BIGINT) AS operation_id, status,
+  CASE WHEN operation_id % 37 <> 0 THEN result WHEN status = 1 THEN part_id END AS result
+FROM {operation}""",
+    "dirty_call": """
+SELECT workflow_id, CAST(CASE WHEN child_id % 70 = 3 THEN child_id + 1 ELSE child_id END AS BIGINT) AS child_id FROM {call}""",
+    "dirty_history": """
+SELECT item_key, seq, CAST(CASE WHEN item_key % 7 = 3 AND seq % 4 = 0 THEN event_us - 3600000000000 WHEN item_key % 5 = 2 AND seq > 2 THEN 0 ELSE event_us END AS BIGINT) AS event_us,
+  CAST(CASE WHEN item_key % 23 = 0 THEN 20 ELSE event_type END AS INT) AS event_type, CAST(CASE WHEN item_key % 29 = 0 THEN 2 ELSE status END AS INT) AS status,
+  CASE WHEN item_key % 31 <> 0 THEN lease_expires_us END AS lease_expires_us
+FROM {ledger_history}""",
 }
 
 
