@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import analytics, commands
 from tidemill.plans import graph
@@ -56,6 +57,42 @@ def test_closure_is_not_bounded(spark):
     assert far[1, 70] == (69, 69) and far[3, 9] == (3, 2) and not any(p == 2 for p, _ in far)
 
 
+def counted(monkeypatch, module):
+    """Rows of the tables that a module writes from now on."""
+    rows, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: rows.append(df.count()) or write(df, name))
+    return rows
+
+
+def test_walks_of_plans_write_no_paths(spark, monkeypatch):
+    edges = spark.createDataFrame([(p, i, i + 1) for p in range(3) for i in range(1, 70)], "plan long, source long, target long")
+    rows = counted(monkeypatch, graph)
+    assert graph.cyclic(edges).count() == 0 and graph.from_entry(edges).count() == 3 * 70
+    assert sum(rows) <= 3 * 69
+
+
+def test_large_plans_are_walked_by_joins_to_the_same_end(spark):
+    rng = random.Random(11)
+    edges = [(p, *(rng.sample(range(1, 9), 2) if p % 2 else sorted(rng.sample(range(1, 9), 2)))) for p in range(12) for _ in range(2 + p)] + [(20, 1, 1), (21, 5, 6)]
+    df = spark.createDataFrame(edges, "plan long, source long, target long")
+    for build in (graph.cyclic, graph.from_entry, graph.from_first):
+        whole = sorted(map(tuple, build(df).collect()))
+        assert whole and sorted(map(tuple, build(df, 6).collect())) == whole == sorted(map(tuple, build(df, 0).collect())), build
+    ends = {p: {1} for p, s, _ in edges if s == 1}
+    for _ in edges:
+        for p, s, t in edges:
+            if s in ends.get(p, ()):
+                ends[p].add(t)
+    assert {r.plan: r.n for r in graph.from_first(df).collect()} == {p: len(found) for p, found in ends.items()}
+
+
+def test_edges_of_one_file_are_dealt_to_several_tasks(spark, tmp_path):
+    spark.range(0, 4000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    chain = graph.plans(Fixtures(spark, f"file://{tmp_path}")).where("target = source + 1").withColumn("task", F.spark_partition_id())
+    rows = [r["count"] for r in chain.groupBy("task").count().collect()]
+    assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
+
+
 def test_clock_guard(spark):
     analytics.assert_utc(spark)
     held = spark.conf.get("spark.sql.session.timeZone")
