@@ -93,6 +93,11 @@ def test_edges_of_one_file_are_dealt_to_several_tasks(spark, tmp_path):
     assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
 
 
+def test_nodes_are_not_broadcast(spark):
+    plan = graph.graph_dangling(Fixtures(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_clock_guard(spark):
     analytics.assert_utc(spark)
     held = spark.conf.get("spark.sql.session.timeZone")

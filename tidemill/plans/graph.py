@@ -186,10 +186,10 @@ def from_first(edges: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 @query("graph_dangling", f"WITH {_PLANS_SQL} SELECT e.plan, e.source, e.target FROM edges e JOIN sized s ON s.plan = e.plan WHERE e.target > s.n")
 def graph_dangling(fx: Fixtures) -> DataFrame:
-    """Edges to nodes that a plan does not have."""
+    """Edges to nodes that a plan does not have; merged, as Spark takes the nodes for few and would broadcast them all."""
     edges = plans(fx)
     nodes = edges.select("plan", F.col("source").alias("target")).unionByName(fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 19).cast("long").alias("target")))
-    return edges.join(nodes, ["plan", "target"], "left_anti").select("plan", "source", "target")
+    return edges.join(nodes.hint("merge"), ["plan", "target"], "left_anti").select("plan", "source", "target")
 
 
 @query("graph_duplicate", f"WITH {_PLANS_SQL} SELECT plan, source, count(*) AS n FROM edges GROUP BY plan, source HAVING count(*) > 1")
