@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -98,6 +99,31 @@ def test_nodes_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.fixture
+def merged(spark):
+    """No broadcasts and no adaptive steps, as tables of any size are joined."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    held = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in held.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("name", ["child_settle", "child_reopen"])
+def test_commands_without_a_child_do_not_meet_in_one_task(merged, name):
+    df = commands.context(Fixtures(merged, "/root/testdata/sf0.001"), commands.NEEDS[name])
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(rows) < 0.5 * sum(rows)
+
+
+def test_commands_are_dealt_by_workflow_alone(merged):
+    for name in ("call_submit_guard", "child_settle", "op_request"):
+        plan = commands.context(Fixtures(merged, "/root/testdata/sf0.001"), commands.NEEDS[name])._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(workflow_id" in plan and not re.search(r"hashpartitioning\(\w+#\d+L?, (seq|_at)#", plan), name
+
+
 def test_clock_guard(spark):
     analytics.assert_utc(spark)
     held = spark.conf.get("spark.sql.session.timeZone")

@@ -166,6 +166,12 @@ def _ms(since: Column) -> Column:
     return F.floor((F.lit(NOW_US) - since) / 1000).cast("long")
 
 
+def _at(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Commands with the rows of their place, if any; the place is a range of one, so that rows are dealt by workflow alone and no step deals them again."""
+    rows = rows.withColumnsRenamed({"workflow_id": "_of", "seq": "_at"})
+    return df.join(rows, (F.col("workflow_id") == F.col("_of")) & F.col("_at").between(F.col("seq"), F.col("seq")), "left").drop("_of", "_at")
+
+
 def context(fx: Fixtures, needs: set[str]) -> DataFrame:
     """Commands with the state that their procedure looks at; what is missing is null."""
     w = fx.workflow.select("workflow_id", F.col("state").alias("w_state"), F.col("lease_owner").alias("w_owner"), F.col("lease_expires_us").alias("w_expires"), F.col("fencing_token").alias("w_token"), F.col("current_event_us").alias("w_event_us"), F.col("next_attempt_us").alias("w_next_us"), F.col("trigger_id").alias("w_trigger"), F.col("call_depth").alias("w_depth"), F.col("root_id").alias("w_root"), F.col("execution_direction").alias("w_direction"), F.col("current_disposition").alias("w_disposition"), F.col("terminal_reason").alias("w_reason"), F.col("return_json").alias("w_return"))
@@ -176,15 +182,15 @@ def context(fx: Fixtures, needs: set[str]) -> DataFrame:
         df = df.join(fx.plan.select("workflow_id", F.col("plan_length").alias("p_length")), "workflow_id", "left")
     if "op" in needs:
         ops = fx.operation.select("workflow_id", F.col("operation_seq").alias("seq"), F.col("operation_id").alias("o_id"), F.col("status").alias("o_status"), F.col("call_kind").alias("o_call_kind"), F.col("operation_name").alias("o_name"), F.col("schema_version").alias("o_schema"), F.col("input_hash").alias("o_hash"), F.col("result").alias("o_result"), F.col("reconcile_attempts").alias("attempts_before"), F.col("redispatch_count").alias("redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("pending_ms"))
-        df = df.join(ops, ["workflow_id", "seq"], "left")
+        df = _at(df, ops)
         # Callers mostly ask for what is there; some bring another name, version or hash.
         df = df.withColumns({"arg_name": F.when(odd(29, 3), "other").otherwise(F.col("o_name")), "arg_schema": F.col("o_schema") + F.when(odd(31, 4), 1).otherwise(0), "arg_hash": F.when(~odd(37, 5), F.col("o_hash"))})
     if "before" in needs:
         before = fx.operation.select("workflow_id", (F.col("operation_seq") + 1).alias("seq"), F.col("status").alias("before_status"))
-        df = df.join(before, ["workflow_id", "seq"], "left")
+        df = _at(df, before)
     if "cp" in needs:
         cps = fx.checkpoint.select("workflow_id", "seq", F.col("reversal_state").alias("c_state"), F.col("reverse_id").alias("c_reverse_id"), F.concat(F.lit("undo_"), "operation_name").alias("c_reverse_name"), F.col("reconcile_attempts").alias("c_attempts"), F.col("redispatch_count").alias("c_redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("c_waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("c_pending_ms"))
-        df = df.join(cps, ["workflow_id", "seq"], "left")
+        df = _at(df, cps)
         df = df.withColumn("arg_reverse_name", F.when(odd(31, 6), "undo_other").otherwise(F.col("c_reverse_name")))
     if "top" in needs:
         tops = active_tops(fx)
@@ -194,10 +200,11 @@ def context(fx: Fixtures, needs: set[str]) -> DataFrame:
         df = df.join(last, "workflow_id", "left")
     if "call" in needs:
         calls = fx.call.select("workflow_id", F.col("operation_seq").alias("seq"), F.col("child_id").alias("call_child"), F.col("child_script").alias("call_script"), F.col("last_inspected_us").alias("call_seen"))
-        df = df.join(calls, ["workflow_id", "seq"], "left").withColumn("arg_child", F.col("call_child") + F.when(odd(23, 2), 1).otherwise(0))
         if "top" in needs:
+            # The child belongs to its call: most commands have none, and joined by it they would all meet in one task.
             child = fx.workflow.select(F.col("workflow_id").alias("call_child"), F.col("state").alias("child_state"), F.col("current_event_us").alias("child_event_us"), F.col("fencing_token").alias("child_token_before"))
-            df = df.join(child, "call_child", "left").join(active_tops(fx).select(F.col("workflow_id").alias("call_child"), F.col("top_seq").alias("child_top_seq")), "call_child", "left")
+            calls = calls.join(child, "call_child", "left").join(tops.select(F.col("workflow_id").alias("call_child"), F.col("top_seq").alias("child_top_seq")), "call_child", "left")
+        df = _at(df, calls).withColumn("arg_child", F.col("call_child") + F.when(odd(23, 2), 1).otherwise(0))
     if "ancestry" in needs:
         df = df.join(_in_ancestry(fx), "workflow_id", "left").withColumn("in_ancestry", F.coalesce("in_ancestry", F.lit(0)))
     return df
