@@ -124,6 +124,13 @@ def test_commands_are_dealt_by_workflow_alone(merged):
         assert "hashpartitioning(workflow_id" in plan and not re.search(r"hashpartitioning\(\w+#\d+L?, (seq|_at)#", plan), name
 
 
+def test_documents_derive_calls_once(spark, monkeypatch):
+    plans, write = {}, analytics.written
+    monkeypatch.setattr(analytics, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    analytics.inspect(Fixtures(spark, "/root/testdata/sf0.001"), 1)
+    assert plans["documents"].count("lineitem.parquet") == 2
+
+
 def test_clock_guard(spark):
     analytics.assert_utc(spark)
     held = spark.conf.get("spark.sql.session.timeZone")

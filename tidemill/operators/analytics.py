@@ -344,9 +344,10 @@ def inspect(fx: Fixtures, max_depth: int) -> DataFrame:
     """
     item = lambda template, *columns: F.format_string(template, *columns)
     listed = lambda rows, name, place, text: rows.groupBy("workflow_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, text.alias("text")))), lambda x: x["text"]), ",").alias(name))
+    calls = written(fx.call.select("workflow_id", "operation_seq", "child_id", "child_status"), "document-calls")
     parts = {
         "operations": listed(fx.operation, "operations", ["operation_seq"], item('{"seq":%d,"name":"%s","status":%d}', "operation_seq", "operation_name", "status")),
-        "calls": listed(fx.call, "calls", ["operation_seq", "child_id"], item('{"seq":%d,"child":%d,"status":%d}', "operation_seq", "child_id", "child_status")),
+        "calls": listed(calls, "calls", ["operation_seq", "child_id"], item('{"seq":%d,"child":%d,"status":%d}', "operation_seq", "child_id", "child_status")),
         "checkpoints": listed(fx.checkpoint, "checkpoints", ["seq"], item('{"seq":%d,"state":%d}', "seq", "reversal_state")),
         "events": listed(fx.event, "events", ["event_us", "event_id"], item('{"at":%d,"kind":"%s"}', "event_us", "kind")),
     }
@@ -357,7 +358,7 @@ def inspect(fx: Fixtures, max_depth: int) -> DataFrame:
     own = own.select("workflow_id", F.concat(head, *[F.concat(F.lit(f',"{n}":['), F.coalesce(n, F.lit("")), F.lit("]")) for n in parts]).alias("own"))
     own = written(own, "documents")
     nodes = written(descend(fx, max_depth).select("root", "workflow_id", "depth", "path", "cycle"), "document-nodes")
-    calls = fx.call.select(F.col("workflow_id").alias("caller"), "operation_seq", "child_id")
+    calls = calls.select(F.col("workflow_id").alias("caller"), "operation_seq", "child_id")
     below = None  # (path of the caller, place of the call, document) of the level below
     for depth in range(max_depth, -1, -1):
         level = nodes.where((F.col("depth") == depth) & ~F.col("cycle")).select("root", "workflow_id", "path")
