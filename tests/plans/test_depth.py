@@ -94,6 +94,13 @@ def test_edges_of_one_file_are_dealt_to_several_tasks(spark, tmp_path):
     assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
 
 
+def test_more_customers_are_dealt_to_more_tasks(spark, tmp_path):
+    spark.range(0, 200_000).selectExpr("id AS c_custkey").write.parquet(f"file://{tmp_path}/customer.parquet")
+    first = graph.plans(Fixtures(spark, f"file://{tmp_path}")).where("source = 1 AND target = 2").withColumn("task", F.spark_partition_id())
+    rows = [r["count"] for r in first.groupBy("task").count().collect()]
+    assert sum(rows) == 200_000 and max(rows) < 1.3 * graph.DEALT
+
+
 def test_nodes_are_not_broadcast(spark):
     plan = graph.graph_dangling(Fixtures(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan

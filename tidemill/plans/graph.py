@@ -8,6 +8,7 @@ plans are walked by joins, a step of all of them at a time, so no task holds one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from tidemill.sources.scratch import written
 
 #: Edges of a plan that is walked in one row.
 LIMIT = 4096
+#: Customers whose plans a task derives, so that its memory stays the same however many there are.
+DEALT = 20_000
 
 
 def plans(fx: Fixtures) -> DataFrame:
@@ -27,10 +30,11 @@ def plans(fx: Fixtures) -> DataFrame:
 
     Plans with a number divisible by 13 loop back, those divisible by 17 have an edge
     to a node that does not exist.  Customers are dealt out before they become edges, as
-    a small file of them is read by few tasks.
+    a small file of them is read by few tasks, and to more tasks the more there are.
     """
     sized = fx.customer.select(F.col("c_custkey").cast("long").alias("plan"), (3 + F.col("c_custkey") % 19).cast("long").alias("n"))
-    sized = sized.repartition(int(fx.spark.conf.get("spark.sql.shuffle.partitions")), "plan")
+    tasks = max(int(fx.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(fx.customer.count() / DEALT))
+    sized = sized.repartition(tasks, "plan")
     edge = lambda source, target: f"named_struct('source', {source}, 'target', {target})"
     also = lambda when, source, target: f"if({when}, array({edge(source, target)}), array())"
     chain = f"if(n > 1, transform(sequence(1L, greatest(n - 1, 1L)), s -> {edge('s', 's + 1')}), array())"
