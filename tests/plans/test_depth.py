@@ -131,6 +131,23 @@ def test_commands_are_dealt_by_workflow_alone(merged):
         assert "hashpartitioning(workflow_id" in plan and not re.search(r"hashpartitioning\(\w+#\d+L?, (seq|_at)#", plan), name
 
 
+def test_operations_are_dealt_once(merged):
+    """One scan numbers them for a command's place and the one before, and nothing deals them again after that."""
+    for name in ("call_submit_guard", "op_request"):
+        plan = commands.context(Fixtures(merged, "/root/testdata/sf0.001"), commands.NEEDS[name])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [row_number()") == 1 == sum("FileScan" in line and "l_linenumber" in line for line in plan.splitlines()), name
+        assert plan.count("Exchange hashpartitioning(_of#") == ("call" in commands.NEEDS[name]), name
+
+
+def test_places_beyond_gaps_and_ends_find_what_is_before(spark):
+    held = {1: [1, 2, 4], 2: [3]}
+    ops = spark.createDataFrame([(w, s, w * 100 + s, s % 2) for w, seqs in held.items() for s in seqs], "workflow_id long, seq int, o_id long, o_status int")
+    asked = spark.createDataFrame([(w, s) for w in (1, 2, 3) for s in range(7)], "workflow_id long, seq int")
+    rows = commands._at_or_after(asked, ops).collect()
+    want = {(w, s): (w * 100 + s if s in held.get(w, ()) else None, (s - 1) % 2 if s - 1 in held.get(w, ()) else None) for w in (1, 2, 3) for s in range(7)}
+    assert len(rows) == len(want) and {(r.workflow_id, r.seq): (r.o_id, r.before_status) for r in rows} == want
+
+
 def test_documents_derive_calls_once(spark, monkeypatch):
     plans, write = {}, analytics.written
     monkeypatch.setattr(analytics, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))

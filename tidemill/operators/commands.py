@@ -172,8 +172,25 @@ def _at(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.join(rows, (F.col("workflow_id") == F.col("_of")) & F.col("_at").between(F.col("seq"), F.col("seq")), "left").drop("_of", "_at")
 
 
+def _at_or_after(df: DataFrame, ops: DataFrame) -> DataFrame:
+    """Commands with the operation of their place and the status of the one before it, from one row, so that operations are dealt once.
+
+    An operation brings along the status before its own; where none follows it, it is
+    also found by a command of the next place, which has no operation but one before.
+    """
+    along, here = Window.partitionBy("workflow_id").orderBy("seq"), F.col("_at") == F.col("seq")
+    kept = [c for c in ops.columns if c not in ("workflow_id", "seq")]
+    before = F.when(F.lag("seq").over(along) == F.col("seq") - 1, F.lag("o_status").over(along))
+    to = F.when(F.lead("seq").over(along) == F.col("seq") + 1, F.col("seq")).otherwise(F.col("seq") + 1)
+    ops = ops.select(F.col("workflow_id").alias("_of"), F.col("seq").alias("_at"), to.alias("_to"), before.alias("_before"), *kept)
+    df = df.join(ops, (F.col("workflow_id") == F.col("_of")) & F.col("seq").between(F.col("_at"), F.col("_to")), "left")
+    df = df.withColumn("before_status", F.when(here, F.col("_before")).otherwise(F.col("o_status")))
+    return df.withColumns({c: F.when(here, F.col(c)) for c in kept}).drop("_of", "_at", "_to", "_before")
+
+
 def context(fx: Fixtures, needs: set[str]) -> DataFrame:
     """Commands with the state that their procedure looks at; what is missing is null."""
+    dealt = fx.dealt("lineitem", "l_orderkey")
     w = fx.workflow.select("workflow_id", F.col("state").alias("w_state"), F.col("lease_owner").alias("w_owner"), F.col("lease_expires_us").alias("w_expires"), F.col("fencing_token").alias("w_token"), F.col("current_event_us").alias("w_event_us"), F.col("next_attempt_us").alias("w_next_us"), F.col("trigger_id").alias("w_trigger"), F.col("call_depth").alias("w_depth"), F.col("root_id").alias("w_root"), F.col("execution_direction").alias("w_direction"), F.col("current_disposition").alias("w_disposition"), F.col("terminal_reason").alias("w_reason"), F.col("return_json").alias("w_return"))
     df = fx.command.join(w, "workflow_id", "left")
     odd = lambda n, k: F.col("workflow_id") % n == k
@@ -181,19 +198,16 @@ def context(fx: Fixtures, needs: set[str]) -> DataFrame:
     if "plan" in needs:
         df = df.join(fx.plan.select("workflow_id", F.col("plan_length").alias("p_length")), "workflow_id", "left")
     if "op" in needs:
-        ops = fx.operation.select("workflow_id", F.col("operation_seq").alias("seq"), F.col("operation_id").alias("o_id"), F.col("status").alias("o_status"), F.col("call_kind").alias("o_call_kind"), F.col("operation_name").alias("o_name"), F.col("schema_version").alias("o_schema"), F.col("input_hash").alias("o_hash"), F.col("result").alias("o_result"), F.col("reconcile_attempts").alias("attempts_before"), F.col("redispatch_count").alias("redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("pending_ms"))
-        df = _at(df, ops)
+        ops = dealt.operation.select("workflow_id", F.col("operation_seq").alias("seq"), F.col("operation_id").alias("o_id"), F.col("status").alias("o_status"), F.col("call_kind").alias("o_call_kind"), F.col("operation_name").alias("o_name"), F.col("schema_version").alias("o_schema"), F.col("input_hash").alias("o_hash"), F.col("result").alias("o_result"), F.col("reconcile_attempts").alias("attempts_before"), F.col("redispatch_count").alias("redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("pending_ms"))
+        df = _at_or_after(df, ops) if "before" in needs else _at(df, ops)
         # Callers mostly ask for what is there; some bring another name, version or hash.
         df = df.withColumns({"arg_name": F.when(odd(29, 3), "other").otherwise(F.col("o_name")), "arg_schema": F.col("o_schema") + F.when(odd(31, 4), 1).otherwise(0), "arg_hash": F.when(~odd(37, 5), F.col("o_hash"))})
-    if "before" in needs:
-        before = fx.operation.select("workflow_id", (F.col("operation_seq") + 1).alias("seq"), F.col("status").alias("before_status"))
-        df = _at(df, before)
     if "cp" in needs:
-        cps = fx.checkpoint.select("workflow_id", "seq", F.col("reversal_state").alias("c_state"), F.col("reverse_id").alias("c_reverse_id"), F.concat(F.lit("undo_"), "operation_name").alias("c_reverse_name"), F.col("reconcile_attempts").alias("c_attempts"), F.col("redispatch_count").alias("c_redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("c_waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("c_pending_ms"))
+        cps = dealt.checkpoint.select("workflow_id", "seq", F.col("reversal_state").alias("c_state"), F.col("reverse_id").alias("c_reverse_id"), F.concat(F.lit("undo_"), "operation_name").alias("c_reverse_name"), F.col("reconcile_attempts").alias("c_attempts"), F.col("redispatch_count").alias("c_redispatched"), _ms(F.coalesce("reconcile_first_us", F.lit(NOW_US))).alias("c_waited_ms"), _ms(F.coalesce("redispatch_last_us", "redispatch_first_us", F.lit(NOW_US))).alias("c_pending_ms"))
         df = _at(df, cps)
         df = df.withColumn("arg_reverse_name", F.when(odd(31, 6), "undo_other").otherwise(F.col("c_reverse_name")))
     if "top" in needs:
-        tops = active_tops(fx)
+        tops = active_tops(dealt)
         df = df.join(tops.select("workflow_id", "top_seq", "next_seq"), "workflow_id", "left")
     if "last" in needs:
         last = fx.event.groupBy("workflow_id").agg(F.max_by("kind", F.struct("event_us", "event_id")).alias("last_kind"), F.max_by(F.get_json_object("payload", "$.k"), F.struct("event_us", "event_id")).alias("last_reason"))
