@@ -178,11 +178,12 @@ def _at_or_after(df: DataFrame, ops: DataFrame) -> DataFrame:
     An operation brings along the status before its own; where none follows it, it is
     also found by a command of the next place, which has no operation but one before.
     """
-    along, here = Window.partitionBy("workflow_id").orderBy("seq"), F.col("_at") == F.col("seq")
-    kept = [c for c in ops.columns if c not in ("workflow_id", "seq")]
-    before = F.when(F.lag("seq").over(along) == F.col("seq") - 1, F.lag("o_status").over(along))
-    to = F.when(F.lead("seq").over(along) == F.col("seq") + 1, F.col("seq")).otherwise(F.col("seq") + 1)
-    ops = ops.select(F.col("workflow_id").alias("_of"), F.col("seq").alias("_at"), to.alias("_to"), before.alias("_before"), *kept)
+    ops = ops.withColumnsRenamed({"workflow_id": "_of", "seq": "_at"})
+    kept = [c for c in ops.columns if c not in ("_of", "_at")]
+    along, here = Window.partitionBy("_of").orderBy("_at"), F.col("_at") == F.col("seq")
+    before = F.when(F.lag("_at").over(along) == F.col("_at") - 1, F.lag("o_status").over(along))
+    to = F.when(F.lead("_at").over(along) == F.col("_at") + 1, F.col("_at")).otherwise(F.col("_at") + 1)
+    ops = ops.withColumns({"_before": before, "_to": to})
     df = df.join(ops, (F.col("workflow_id") == F.col("_of")) & F.col("seq").between(F.col("_at"), F.col("_to")), "left")
     df = df.withColumn("before_status", F.when(here, F.col("_before")).otherwise(F.col("o_status")))
     return df.withColumns({c: F.when(here, F.col(c)) for c in kept}).drop("_of", "_at", "_to", "_before")
